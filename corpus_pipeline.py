@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
+from tessera.llm.components import sized
 from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.language_id import fit, identify_languages
+from tessera.llm.language_id import accepted_languages, fit
 from tessera.llm.ngram_join import ngram_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.secrets import redact_live
 from tessera.llm.word_pieces import word_ids
 
-#: A document goes if none of its words has a language or its main one has less than this share.
+#: A document goes if its main language has less than this share of its words.
 LEAST_SHARE = 0.4
 TOKENIZER = "word_bpe_49k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts, texts without letters, and mixtures in which no
-    language has LEAST_SHARE of the words.  Rows with null identifiers go too, as later stages can't
-    tell them apart."""
-    judged = identify_languages(docs, fit(docs))
-    good = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    language has LEAST_SHARE of the words."""
+    return accepted_languages(docs, fit(docs), LEAST_SHARE)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +32,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least identifier of each group of near copies (five words, 0.8)."""
-    kept = ngram_components(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = ngram_components(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id")
+    return docs.join(sized(Scratch(spark).keep(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,6 +195,22 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
     return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def accepted_languages(docs: DataFrame, model: Model | None, least_share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with ``least_share`` of its words or
+    more.  Null texts and texts without a letter go; without a model nothing stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good: list[bool] = []
+            for part in slabs(batch.column(at).to_pylist(), lambda x: len(x or ""), SLAB):
+                good += [lang != "und" and score >= least_share for lang, score in zip(*predict(part, shared.value), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return identify_languages(docs, fit(docs))
