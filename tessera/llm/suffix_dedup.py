@@ -103,21 +103,36 @@ def stretches(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.nda
         yield [p[0] for p in part], [p[1] for p in part], np.frombuffer(b"".join(own), np.uint8), np.cumsum([len(x) for x in own])
 
 
+def _met_twice(text: np.ndarray, gram: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and number of occurrences of each context of each text."""
+    order = np.lexsort((whole, gram, text))
+    fresh = np.ones(len(order), bool)
+    for k in (text, gram, whole):
+        fresh[1:] &= k[order][1:] == k[order][:-1]
+    fresh[1:] = ~fresh[1:]
+    first = np.flatnonzero(fresh)
+    return order[first], np.diff(np.concatenate((first, [len(order)])))
+
+
 def facts_and_grams(docs: DataFrame) -> DataFrame:
-    """Rows (id, size, node, digest) of documents and (gram, whole, node, place, low, high) of contexts;
-    the contexts of a text that a task has met before are left out."""
+    """Three kinds of rows: (id, size, node, digest) of documents; (gram, whole, node, place, low, high,
+    times) of the distinct contexts of each text that the task hasn't met before; and (node, low, high)
+    of stretches of contexts that come again in the same text, which a text of few phrases has many of."""
     kind = docs.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, size long, node long, digest string, gram long, whole long, place long, low long, high long"
+    schema = f"id {kind}, size long, node long, digest string, gram long, whole long, place long, low long, high long, times long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(n: int, kinds: dict, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[x], kinds[x]) if x in given else pa.nulls(n, kinds[x]) for x in names], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
+            kinds = {x: pa.int64() for x in names} | {"id": batch.column(0).type, "digest": pa.string()}
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             digests = [hashlib.sha256(x).hexdigest() for x in texts]
             nodes = [int.from_bytes(bytes.fromhex(x[:16]), "little", signed=True) for x in digests]
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(nodes, pa.int64()), pa.array(digests, pa.string()), none, none, none, none, none], names=names)
+            yield rows(batch.num_rows, kinds, id=batch.column(0), size=[len(x) for x in texts], node=nodes, digest=digests)
             fresh = []
             for text, node in zip(texts, nodes, strict=True):
                 if len(text) >= SPAN and node not in met:
@@ -125,12 +140,23 @@ def facts_and_grams(docs: DataFrame) -> DataFrame:
                     fresh.append((text, node))
             for which, shift, data, ends in stretches([x[0] for x in fresh]):
                 place, low, high, text, gram, whole = contexts(data, ends)
-                if len(place):
-                    begin = np.concatenate(([0], ends[:-1]))[text]
-                    move = np.array(shift)[text] - begin
-                    own = np.array([fresh[i][1] for i in which], np.int64)[text]
-                    numbers = [pa.array(x, pa.int64()) for x in (gram.view(np.int64), whole.view(np.int64), place + move, low + move, high + move)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(place), batch.column(0).type), pa.nulls(len(place), pa.int64()), pa.array(own), pa.nulls(len(place), pa.string()), *numbers], names=names)
+                if not len(place):
+                    continue
+                move = np.array(shift)[text] - np.concatenate(([0], ends[:-1]))[text]
+                place, low, high = place + move, low + move, high + move
+                owner = np.array([fresh[i][1] for i in which], np.int64)[text]
+                first, times = _met_twice(text, gram, whole)
+                yield rows(len(first), kinds, node=owner[first], gram=gram[first].view(np.int64), whole=whole[first].view(np.int64), place=place[first], low=low[first], high=high[first], times=times)
+                if (times > 1).any():
+                    twice = np.zeros(len(place), bool)
+                    order = np.lexsort((whole, gram, text))
+                    twice[order] = np.repeat(times > 1, times)
+                    at = np.flatnonzero(twice)
+                    begin = np.ones(len(at), bool)
+                    begin[1:] = (text[at][1:] != text[at][:-1]) | (low[at][1:] != high[at][:-1] + 1)
+                    head = at[begin]
+                    last = at[np.concatenate((np.flatnonzero(begin)[1:], [len(at)])) - 1]
+                    yield rows(len(head), kinds, node=owner[head], low=low[head], high=high[last])
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -294,13 +320,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.keep(facts_and_grams(own), "facts")
     facts = rows.where(F.col("size").isNotNull()).select("id", "size", "node", "digest")
-    seen = rows.where(F.col("gram").isNotNull()).select("gram", "whole", "node", "place", "low", "high")
-    again = scratch.keep(seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "again")
+    seen = rows.where(F.col("gram").isNotNull()).select("gram", "whole", "node", "place", "low", "high", "times")
+    again = scratch.keep(seen.groupBy("gram").agg(F.sum("times").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")), "again")
     open_ = scratch.keep(seen.join(again, "gram"), "open")
     scratch.drop(again)
-    wholes = open_.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "place", "low", "high")).alias("one"), F.first("mixed").alias("mixed"))
+    wholes = open_.groupBy("gram", "whole").agg(F.sum("times").alias("n"), F.min(F.struct("node", "place", "low", "high")).alias("one"), F.first("mixed").alias("mixed"))
     wholes = scratch.keep(wholes.where("mixed or n > 1"), "wholes")
     equal = open_.join(wholes.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("node", F.col("low").alias("start"), (F.col("high") + SPAN).alias("stop"))
+    within = rows.where(F.col("gram").isNull() & F.col("size").isNull()).select("node", F.col("low").alias("start"), (F.col("high") + SPAN).alias("stop"))
     buckets = scratch.keep(wholes.where("mixed").groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "buckets")
     texts = scratch.keep(facts.where(f"size >= {SPAN}").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "texts")
     items = wholes.where("mixed").join(buckets, "gram").select("one.node", F.struct("gram", F.col("one.place").alias("place"), F.col("one.low").alias("low"), F.col("one.high").alias("high"), (F.col("n") > 1).alias("sure"), "m").alias("item"))
@@ -308,7 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = scratch.keep(items.groupBy("node").agg(F.collect_list("item").alias("items")).join(texts, "node").select("id", "node", "items"), "wanted")
     cut = scratch.keep(_cut_contexts(own, sized(wanted), many, huge), "cut")
     scratch.drop(wanted)
-    found = repeats_in_buckets(cut.where("not huge"), few).unionByName(equal)
+    found = repeats_in_buckets(cut.where("not huge"), few).unionByName(equal).unionByName(within)
     if not cut.where("huge").isEmpty():
         found = found.unionByName(repeats_by_digest(cut.where("huge"), scratch))
     covers = found.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("covers"))
