@@ -4,8 +4,9 @@ Equal n-gram sets are one node from the start, so copies cost nothing.  N-grams
 first; two sets that are similar enough share one of their first few n-grams.  Within the nodes of one
 such n-gram, one node (the centre) is paired with all others, under length and positional filters;
 pairs are verified after a suffix filter.  Nodes that are known to be connected need no further
-pairs, so centres follow each other, the node of the smallest component first, until each list is
-one component or used up.  A list of m similar texts costs m pairs, not m * m.
+pairs, so a list of m similar texts costs m pairs, not m * m: while a list has several components,
+either a few more centres are tried or, if they are few enough, all nodes outside its main component
+are paired with the others.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, documents, slabs
+from .common import Scratch, documents, shuffle_parts, slabs
 from .components import SMALL_ROWS, connected_components, sized
 from .wordarrays import mixed, ngram_hashes, words_of
 
@@ -27,6 +29,8 @@ SLAB = 1 << 20
 COMMON = 1 << 19
 #: Lists of up to so many nodes give all their pairs at once.
 SHORT = 6
+#: Centres of a longer list in each later round.
+CENTRES = 4
 #: Slices of hash space that the suffix filter compares.
 SLICES = 16
 
@@ -53,15 +57,16 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def rare_first(grams: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Uncommon n-grams by hash, then common ones from the less common to the most common."""
+def rare_first(grams: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """Uncommon n-grams by hash, then common ones from the less common to the most common; and how
+    many are uncommon."""
     if not len(common):
-        return grams
+        return grams, len(grams)
     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
     hit = common[at] == grams
     if not hit.any():
-        return grams
-    return np.concatenate((grams[~hit], grams[hit][np.argsort(rank[at[hit]], kind="stable")]))
+        return grams, len(grams)
+    return np.concatenate((grams[~hit], grams[hit][np.argsort(rank[at[hit]], kind="stable")])), int((~hit).sum())
 
 
 def _sized_texts(batch: pa.RecordBatch, column: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -104,10 +109,18 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
-    """(gram, node, place, size) of the rare-first prefix of each distinct set; the sets that a task
-    has already met are left out, the same node of another task is an equal row."""
-    schema = "gram long, node long, place int, size int"
+def looked_at(percent: int) -> int:
+    """Hashes below this bound are counted exactly: enough of them that a text of mostly unshared
+    n-grams has its whole prefix among those that nobody shares."""
+    return int(min(1.0, 1.6 * (1 - percent / 100) + 0.03) * ((1 << 64) - 1))
+
+
+def offered(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
+    """(gram, node, size, low, nth) for each distinct set: its uncommon n-grams with a hash below the
+    bound (``low`` of them, ``nth`` null), and where those are fewer than the prefix needs, the next
+    ones in order with their place ``nth``.  Sets that a task has already met are left out; the same
+    node of another task gives equal rows."""
+    bound = looked_at(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = common.value
@@ -120,12 +133,64 @@ def prefixes(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
                     if not len(grams) or node in met:
                         continue
                     met.add(node)
-                    own = rare_first(grams, known, rank)[: len(grams) - least_overlap(len(grams), percent) + 1]
-                    out.append((own.view(np.int64), np.full(len(own), node), np.arange(len(own), dtype=np.int32), np.full(len(own), len(grams), np.int32)))
+                    own, uncommon = rare_first(grams, known, rank)
+                    low = int(np.searchsorted(own[:uncommon], np.uint64(bound), side="right"))
+                    need = max(low, len(grams) - least_overlap(len(grams), percent) + 1)
+                    place = np.arange(need)
+                    out.append((own[:need].view(np.int64), np.full(need, node), np.full(need, len(grams), np.int32), np.full(need, low, np.int32), np.where(place < low, -1, place).astype(np.int32)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["gram", "node", "place", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["gram", "node", "size", "low", "nth"])
+
+    return docs.select("text").mapInArrow(run, "gram long, node long, size int, low int, nth int")
+
+
+def shared_grams(rows: DataFrame) -> DataFrame:
+    """The rows of n-grams that two nodes or more offer, each once, with the number of nodes (times).
+
+    Rows are dealt and sorted by n-gram; common n-grams are not among the counted ones, so no
+    group is large."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            gram, node = (table.column(c).to_numpy() for c in (0, 1))
+            order = np.lexsort((node, gram))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (gram[order][1:] != gram[order][:-1]) | (node[order][1:] != node[order][:-1])
+            kept = order[fresh]
+            _, group, times = np.unique(gram[kept], return_inverse=True, return_counts=True)
+            many = times[group] > 1
+            out = table.take(pa.array(kept[many])).append_column("times", pa.array(times[group][many]))
+            yield from out.combine_chunks().to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            gram = table.column(0).to_numpy()
+            stop = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # the last n-gram may go on
+            rest = table.slice(stop)
+            if stop:
+                yield from solved(table.slice(0, stop))
+        if rest is not None and rest.num_rows:
+            yield from solved(rest)
+
+    dealt = rows.repartition(shuffle_parts(rows.sparkSession), "gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "gram long, node long, size int, low int, nth int, times long")
 
-    return docs.select("text").mapInArrow(run, schema)
+
+def prefixes(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
+    """(gram, node, place, size): the shared part of each set's rare-first prefix.
+
+    In the order of all n-grams those that nobody shares come first and fill a prefix without giving
+    a partner; then shared ones, the rarest first; then those beyond the bound and the common ones."""
+    shared = shared_grams(offered(docs, n, percent, common))
+    of_node = W.partitionBy("node")
+    counted = F.col("nth") < 0
+    alone = F.col("low") - F.sum(counted.cast("int")).over(of_node)
+    ranked = shared.select("*", alone.alias("alone"), F.row_number().over(of_node.orderBy("nth", "times", "gram")).alias("rank"))
+    place = F.when(counted, F.col("alone") + F.col("rank") - 1).otherwise(F.col("nth")).cast("int")
+    length = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
+    return ranked.select("gram", "node", place.alias("place"), "size").where(F.col("place") < length)
 
 
 def _may_link(percent: int, x: str, y: str) -> Column:
@@ -143,10 +208,11 @@ def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     return own.where((F.col("x_node") != F.col("c_node")) & _may_link(percent, "c", "x")).select(F.least("c_node", "x_node").alias("a"), F.greatest("c_node", "x_node").alias("b"))
 
 
-def _all_pairs(lists: DataFrame, percent: int, apart: bool) -> DataFrame:
-    x, y = (lists.select("gram", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "place", "size", "component")]) for p in "xy")
-    different = (F.col("x_component") != F.col("y_component")) if apart else F.lit(True)
-    return x.join(y, "gram").where((F.col("x_node") < F.col("y_node")) & different & _may_link(percent, "x", "y")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+def _all_pairs(xs: DataFrame, ys: DataFrame, percent: int, apart: bool) -> DataFrame:
+    x, y = (side.select("gram", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "place", "size", "component", "minor")]) for side, p in ((xs, "x"), (ys, "y")))
+    once = (F.col("x_node") < F.col("y_node")) | ~F.col("y_minor")
+    different = (F.col("x_component") != F.col("y_component")) if apart else (F.col("x_node") != F.col("y_node"))
+    return x.join(y, "gram").where(once & different & _may_link(percent, "x", "y")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -182,7 +248,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int, scratch: Scratch) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"]).filter(good)
 
     held = docs.join(sized(nodes), "id").select("node", "text").mapInArrow(run, "node long, grams binary")
-    return scratch.keep(held.dropDuplicates(["node"]), "sets")
+    return scratch.keep(held, "sets")
 
 
 def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -204,29 +270,39 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
     wanted = scratch.keep(nodes.join(open_lists.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = _sets_of(docs, wanted, n, scratch)
     scratch.drop(wanted)
-    alone = open_lists.withColumn("component", F.col("node"))
-    pairs = _pairs(open_lists, percent).unionByName(_all_pairs(alone.where(F.col("m") <= SHORT), percent, False)).distinct()
+    short = open_lists.where(F.col("m") <= SHORT).select("*", F.col("node").alias("component"), F.lit(True).alias("minor"))
+    pairs = _pairs(open_lists, percent).unionByName(_all_pairs(short, short, percent, False)).distinct()
     links = scratch.keep(verified(pairs, sets, percent), "links")
     labels = connected_components(links, scratch)
+    rest = open_lists.where((F.col("m") > SHORT) & (F.col("node") != F.col("c_node"))).select("gram", "node", "place", "size")
     while True:
-        # the centre is done with; a list goes on while it has two components
-        rest = open_lists.where((F.col("m") > SHORT) & (F.col("node") != F.col("c_node"))).select("gram", "node", "place", "size", "m")
+        # centres are done with; a list goes on while it has two components
         tagged = scratch.keep(rest.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node")), "tagged")
-        sizes = scratch.keep(labels.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "members")
-        weighed = tagged.join(sized(sizes), "component", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-        centre = F.min(F.struct("members", "node", "place", "size"))
-        ahead = weighed.groupBy("gram").agg(centre.alias("c"), F.min("component").alias("low"), F.max("component").alias("top"), F.count(F.lit(1)).alias("left")).where("low <> top")
-        ahead = scratch.keep(ahead.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size")], "left"), "ahead")
-        scratch.drop(sizes, open_lists)
-        weight = ahead.agg(F.sum("left").alias("rows"), F.sum(F.col("left") * F.col("left")).alias("pairs")).first()
+        parts = tagged.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("n"))
+        ahead = parts.groupBy("gram").agg(F.sum("n").alias("left"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        ahead = scratch.keep(ahead.select("gram", "left", F.col("main.n").alias("main_n"), F.col("main.component").alias("main")), "ahead")
+        weight = ahead.agg(F.sum("left").alias("rows"), F.sum((F.col("left") - F.col("main_n")) * F.col("left")).alias("pairs")).first()
         if not weight["rows"]:
             break
-        open_lists = scratch.keep(tagged.join(sized(ahead), "gram"), "open")
+        lists = scratch.keep(tagged.join(sized(ahead), "gram").select("gram", "node", "place", "size", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
         scratch.drop(tagged, ahead)
-        last = weight["pairs"] <= max(8 * weight["rows"], SMALL_ROWS // 4)
-        pairs = _all_pairs(open_lists, percent, True) if last else _pairs(open_lists.join(sized(labels.withColumnsRenamed({"node": "c_node", "component": "c_component"})), "c_node", "left").where(F.coalesce("c_component", "c_node") != F.col("component")), percent)
-        links = scratch.keep(verified(pairs.distinct(), sets, percent).unionByName(links), "links")
-        labels = connected_components(links, scratch)
+        last = weight["pairs"] <= max(16 * weight["rows"], SMALL_ROWS)
+        if last:  # every pair that is apart has a node outside the list's main component
+            pairs = _all_pairs(lists.where("minor"), lists, percent, True)
+        else:
+            entry = F.struct(~F.col("minor"), "node", "place", "size", "component")
+            centres = lists.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(CENTRES))).agg(F.max(entry).alias("c"))
+            centres = scratch.keep(centres.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size", "component")]), "centres")
+            pairs = _pairs(lists.join(sized(centres), "gram").where("component <> c_component"), percent)
+            rest = lists.join(sized(centres.select("gram", F.col("c_node").alias("node"))), ["gram", "node"], "left_anti").select("gram", "node", "place", "size")
+        fresh = scratch.keep(verified(pairs.distinct(), sets, percent), "links")
+        label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
+        between = fresh.join(sized(scratch.keep(label("a"), "labels")), "a", "left").join(sized(scratch.keep(label("b"), "labels")), "b", "left")
+        joined = connected_components(between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")), scratch)
+        # a component is named by its least node, so the name moves with it
+        new = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        moved = labels.join(sized(scratch.keep(new, "moved")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+        labels = scratch.keep(moved.unionByName(joined.select("node", "component")).distinct(), "labels")
         if last:
             break
     return facts, labels
