@@ -30,7 +30,7 @@ COMMON = 1 << 19
 #: Lists of up to so many nodes give all their pairs at once.
 SHORT = 6
 #: Centres of a longer list in each later round.
-CENTRES = 4
+CENTRES = 32
 #: Slices of hash space that the suffix filter compares.
 SLICES = 16
 
@@ -275,6 +275,7 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
     links = scratch.keep(verified(pairs, sets, percent), "links")
     labels = connected_components(links, scratch)
     rest = open_lists.where((F.col("m") > SHORT) & (F.col("node") != F.col("c_node"))).select("gram", "node", "place", "size")
+    late = False
     while True:
         # centres are done with; a list goes on while it has two components
         tagged = scratch.keep(rest.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node")), "tagged")
@@ -286,11 +287,12 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
             break
         lists = scratch.keep(tagged.join(sized(ahead), "gram").select("gram", "node", "place", "size", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
         scratch.drop(tagged, ahead)
-        last = weight["pairs"] <= max(16 * weight["rows"], SMALL_ROWS)
+        last = weight["pairs"] <= max(64 * weight["rows"], SMALL_ROWS)
         if last:  # every pair that is apart has a node outside the list's main component
             pairs = _all_pairs(lists.where("minor"), lists, percent, True)
         else:
-            entry = F.struct(~F.col("minor"), "node", "place", "size", "component")
+            # first nodes of the main components, which take in most of the rest; then the others
+            entry = F.struct(F.col("minor") == F.lit(late), "node", "place", "size", "component")
             centres = lists.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(CENTRES))).agg(F.max(entry).alias("c"))
             centres = scratch.keep(centres.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size", "component")]), "centres")
             pairs = _pairs(lists.join(sized(centres), "gram").where("component <> c_component"), percent)
@@ -305,6 +307,7 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
         labels = scratch.keep(moved.unionByName(joined.select("node", "component")).distinct(), "labels")
         if last:
             break
+        late = True
     return facts, labels
 
 
