@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TWO_64 = "18446744073709551616"
 TWO_63 = "9223372036854775808"
@@ -58,7 +59,7 @@ def hex_to_u64(h: Column) -> Column:
     return F.conv(h, 16, 10).cast("decimal(20,0)")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def through_half(v: pd.Series) -> pd.Series:
     """Values rounded to half precision, as a float16 vector file would hold them."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).astype(np.float32))
