@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, documents, shuffle_parts
-from .word_pieces import PLAIN, word_ids
+from .word_pieces import word_ids
 
 CAPACITY = 2048
 #: Settings that are tried, of which the plan with the fewest sequences counts: the share of the
@@ -257,6 +257,3 @@ def op6_packing(spark, sf_dir):
     import public_tokenizers
 
     return pack_documents(documents(spark, sf_dir), word_ids(public_tokenizers.path("word_bpe_49k.json")))
-
-
-__all__ = ["PLAIN", "op6_packing", "pack_documents", "pack_pieces", "plan_packing", "token_pieces"]
