@@ -42,9 +42,16 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.root}/{tag}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+    def keep(self, df: DataFrame, tag: str, records: int | None = None) -> DataFrame:
+        """``records``: rows of an Arrow batch while this table is written, for plans with wide rows."""
+        path, name = f"{self.root}/{tag}-{uuid.uuid4().hex[:8]}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        try:
+            if records:
+                self.spark.conf.set(name, records)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path

@@ -248,21 +248,22 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int, scratch: Scratch) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"]).filter(good)
 
     held = docs.join(sized(nodes), "id").select("node", "text").mapInArrow(run, "node long, grams binary")
-    return scratch.keep(held, "sets")
+    return scratch.keep(held, "sets", 1000)
 
 
 def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """docs (id, text) to (facts: id, size, node; labels: node, component of every linked node)."""
     spark = docs.sparkSession
-    rows = scratch.keep(described(docs, n), "described")
+    rows = scratch.keep(described(docs, n), "described", 2000)
     facts = rows.where(F.col("size").isNotNull()).select("id", "size", "node")
     total = rows.agg(F.sum("size")).first()[0] or 0
     grams = rows.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= max(8, total // COMMON))
     heavy = sorted((r["gram"] & ((1 << 64) - 1), r["times"]) for r in grams.collect())  # COMMON rows at most
     common = spark.sparkContext.broadcast((np.array([h[0] for h in heavy], np.uint64), np.array([h[1] for h in heavy], np.int64)))
     posted = scratch.keep(prefixes(docs, n, percent, common), "prefixes")
-    entry = F.struct("node", "place", "size")
-    lists = posted.groupBy("gram").agg(F.min(entry).alias("c"), F.max("node").alias("top"), F.count(F.lit(1)).alias("m")).where("top <> c.node")
+    # the node with the fewest unshared n-grams before this one: of edited copies, the original
+    entry = F.struct("place", "node", "size")
+    lists = posted.groupBy("gram").agg(F.min(entry).alias("c"), F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("m")).where("low <> top")
     lists = scratch.keep(lists.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size")], "m"), "lists")
     open_lists = scratch.keep(posted.join(lists, "gram").select("gram", "node", "place", "size", "c_node", "c_place", "c_size", "m").distinct(), "open")
     scratch.drop(posted, lists)
@@ -272,7 +273,7 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
     scratch.drop(wanted)
     short = open_lists.where(F.col("m") <= SHORT).select("*", F.col("node").alias("component"), F.lit(True).alias("minor"))
     pairs = _pairs(open_lists, percent).unionByName(_all_pairs(short, short, percent, False)).distinct()
-    links = scratch.keep(verified(pairs, sets, percent), "links")
+    links = scratch.keep(verified(pairs, sets, percent), "links", 1000)
     labels = connected_components(links, scratch)
     rest = open_lists.where((F.col("m") > SHORT) & (F.col("node") != F.col("c_node"))).select("gram", "node", "place", "size")
     late = False
@@ -287,17 +288,17 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
             break
         lists = scratch.keep(tagged.join(sized(ahead), "gram").select("gram", "node", "place", "size", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
         scratch.drop(tagged, ahead)
-        last = weight["pairs"] <= max(64 * weight["rows"], SMALL_ROWS)
+        last = weight["pairs"] <= max(16 * weight["rows"], SMALL_ROWS)
         if last:  # every pair that is apart has a node outside the list's main component
             pairs = _all_pairs(lists.where("minor"), lists, percent, True)
         else:
             # first nodes of the main components, which take in most of the rest; then the others
-            entry = F.struct(F.col("minor") == F.lit(late), "node", "place", "size", "component")
+            entry = F.struct(F.col("minor") == F.lit(late), -F.col("place"), "node", "place", "size", "component")
             centres = lists.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(CENTRES))).agg(F.max(entry).alias("c"))
             centres = scratch.keep(centres.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size", "component")]), "centres")
             pairs = _pairs(lists.join(sized(centres), "gram").where("component <> c_component"), percent)
             rest = lists.join(sized(centres.select("gram", F.col("c_node").alias("node"))), ["gram", "node"], "left_anti").select("gram", "node", "place", "size")
-        fresh = scratch.keep(verified(pairs.distinct(), sets, percent), "links")
+        fresh = scratch.keep(verified(pairs.distinct(), sets, percent), "links", 1000)
         label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
         between = fresh.join(sized(scratch.keep(label("a"), "labels")), "a", "left").join(sized(scratch.keep(label("b"), "labels")), "b", "left")
         joined = connected_components(between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")), scratch)
