@@ -4,9 +4,9 @@ Equal n-gram sets are one node from the start, so copies cost nothing.  N-grams
 first; two sets that are similar enough share one of their first few n-grams.  Within the nodes of one
 such n-gram, one node (the centre) is paired with all others, under length and positional filters;
 pairs are verified after a suffix filter.  Nodes that are known to be connected need no further
-pairs, so a list of m similar texts costs m pairs, not m * m: while a list has several components,
-either a few more centres are tried or, if they are few enough, all nodes outside its main component
-are paired with the others.
+pairs, so a list of m similar texts costs m pairs, not m * m.  Where a list then has several components,
+the same prefix filter runs once more on what nodes have that the centre hasn't, or lack: related
+texts that are not similar share nearly all their n-grams, but few of their differences.
 """
 
 from __future__ import annotations
@@ -21,16 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, documents, shuffle_parts, slabs
-from .components import SMALL_ROWS, connected_components, sized
+from .components import connected_components, sized
 from .wordarrays import mixed, ngram_hashes, words_of
 
 SLAB = 1 << 20
 #: An n-gram with at least one in this many of all n-gram counts is common; so there are at most as many.
 COMMON = 1 << 19
-#: Lists of up to so many nodes give all their pairs at once.
-SHORT = 6
-#: Centres of a longer list in each later round.
-CENTRES = 32
+#: Rows of an Arrow batch that hold whole sets.
+WIDE_ROWS = 250
 #: Slices of hash space that the suffix filter compares.
 SLICES = 16
 
@@ -208,11 +206,53 @@ def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     return own.where((F.col("x_node") != F.col("c_node")) & _may_link(percent, "c", "x")).select(F.least("c_node", "x_node").alias("a"), F.greatest("c_node", "x_node").alias("b"))
 
 
-def _all_pairs(xs: DataFrame, ys: DataFrame, percent: int, apart: bool) -> DataFrame:
-    x, y = (side.select("gram", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "place", "size", "component", "minor")]) for side, p in ((xs, "x"), (ys, "y")))
-    once = (F.col("x_node") < F.col("y_node")) | ~F.col("y_minor")
-    different = (F.col("x_component") != F.col("y_component")) if apart else (F.col("x_node") != F.col("y_node"))
-    return x.join(y, "gram").where(once & different & _may_link(percent, "x", "y")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (c_node, node, component, minor) to one row per n-gram that only one of the node and
+    its centre has: ``key`` is the hash of centre and n-gram, ``apart`` the number of them."""
+    names = ["c_node", "node", "component", "minor"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(5)]
+            seed = mixed(batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(0x5A5A5A5A5A5A5A5A))
+            found = [np.setxor1d(np.frombuffer(c.as_buffer(), np.uint64), x, assume_unique=True) for c, x in zip(batch.column(4), own, strict=True)]
+            times = np.fromiter(map(len, found), np.int32, len(found))
+            at = np.repeat(np.arange(batch.num_rows), times)
+            key = mixed(np.concatenate(found) ^ seed[at]).view(np.int64) if found else np.empty(0, np.int64)
+            size = np.array([len(x) for x in own], np.int32)
+            facts = batch.select([0, 1, 2, 3]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *facts.columns, pa.array(size[at]), pa.array(times[at])], names=["key", *names, "size", "apart"])
+
+    c, x = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in ("c_node", "node"))
+    whole = members.join(c, "c_node").join(x, "node").select(*names, "c_node_grams", "node_grams")
+    return whole.mapInArrow(run, "key long, c_node long, node long, component long, minor boolean, size int, apart int")
+
+
+def difference_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of one centre's nodes in different components that may still be similar.
+
+    Of sets x and y with differences X and Y from the centre, |x n y| grows with |X n Y|:
+    2 (100 + percent) |X n Y| >= far(x) + far(y), where far(x) = (100 + percent) |X| - (100 - percent) |x|.
+    Of such a pair one node at least (``minor``) is outside the centre's component, so not similar to it,
+    which makes the right side positive.  Hence differences take the place of n-grams: those of one node
+    alone give no partner, the others are ordered rare first, and pairs join on prefixes under
+    length and positional filters.  Copies that were edited apart from each other share few."""
+    q, r = 100 + percent, 100 - percent
+    rows = scratch.keep(differences(members, sets), "apart", WIDE_ROWS)
+    far = (F.col("apart").cast("long") * q - F.col("size").cast("long") * r).alias("far")
+    least = rows.select("c_node", "minor", far).groupBy("c_node").agg(F.min(F.when(F.col("minor"), F.col("far"))).alias("out"), F.min(F.when(~F.col("minor"), F.col("far"))).alias("main"))
+    bound = F.ceil((F.col("far") + F.when(F.col("minor"), F.least("out", "main")).otherwise(F.col("out"))) / (2 * q))
+    least = sized(scratch.keep(least.where("out is not null"), "least"))
+    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = rows.select("*", far).join(times, "key").join(least, "c_node").select("*", bound.alias("bound")).drop("out", "main", "apart")
+    of_node = W.partitionBy("c_node", "node")
+    ranked = shared.select("*", F.count(F.lit(1)).over(of_node).alias("held"), F.row_number().over(of_node.orderBy("times", "key")).alias("rank"))
+    posted = scratch.keep(ranked.where("rank <= held - greatest(bound, 1) + 1").drop("times", "bound", "c_node"), "posted")
+    x, y = (posted.select("key", *[F.col(c).alias(f"{p}_{c}") for c in posted.columns if c != "key"]) for p in ("x", "y"))
+    most = F.least("x_rank", "y_rank") + F.least(F.col("x_held") - F.col("x_rank"), F.col("y_held") - F.col("y_rank"))
+    once = (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_minor") | F.col("y_minor"))
+    near = (2 * q * most >= F.col("x_far") + F.col("y_far")) & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
+    return scratch.keep(x.join(y, "key").where(once & near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "pairs")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -263,52 +303,33 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
     posted = scratch.keep(prefixes(docs, n, percent, common), "prefixes")
     # the node with the fewest unshared n-grams before this one: of edited copies, the original
     entry = F.struct("place", "node", "size")
-    lists = posted.groupBy("gram").agg(F.min(entry).alias("c"), F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("m")).where("low <> top")
-    lists = scratch.keep(lists.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size")], "m"), "lists")
-    open_lists = scratch.keep(posted.join(lists, "gram").select("gram", "node", "place", "size", "c_node", "c_place", "c_size", "m").distinct(), "open")
+    lists = posted.groupBy("gram").agg(F.min(entry).alias("c"), F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top")
+    lists = scratch.keep(lists.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size")]), "lists")
+    open_lists = scratch.keep(posted.join(lists, "gram").select("gram", "node", "place", "size", "c_node", "c_place", "c_size").distinct(), "open")
     scratch.drop(posted, lists)
     nodes = facts.groupBy("node").agg(F.min("id").alias("id"))
     wanted = scratch.keep(nodes.join(open_lists.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = _sets_of(docs, wanted, n, scratch)
     scratch.drop(wanted)
-    short = open_lists.where(F.col("m") <= SHORT).select("*", F.col("node").alias("component"), F.lit(True).alias("minor"))
-    pairs = _pairs(open_lists, percent).unionByName(_all_pairs(short, short, percent, False)).distinct()
-    links = scratch.keep(verified(pairs, sets, percent), "links", 1000)
+    links = scratch.keep(verified(_pairs(open_lists, percent).distinct(), sets, percent), "links", WIDE_ROWS)
     labels = connected_components(links, scratch)
-    rest = open_lists.where((F.col("m") > SHORT) & (F.col("node") != F.col("c_node"))).select("gram", "node", "place", "size")
-    late = False
-    while True:
-        # centres are done with; a list goes on while it has two components
-        tagged = scratch.keep(rest.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node")), "tagged")
-        parts = tagged.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("n"))
-        ahead = parts.groupBy("gram").agg(F.sum("n").alias("left"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        ahead = scratch.keep(ahead.select("gram", "left", F.col("main.n").alias("main_n"), F.col("main.component").alias("main")), "ahead")
-        weight = ahead.agg(F.sum("left").alias("rows"), F.sum((F.col("left") - F.col("main_n")) * F.col("left")).alias("pairs")).first()
-        if not weight["rows"]:
-            break
-        lists = scratch.keep(tagged.join(sized(ahead), "gram").select("gram", "node", "place", "size", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
-        scratch.drop(tagged, ahead)
-        last = weight["pairs"] <= max(16 * weight["rows"], SMALL_ROWS)
-        if last:  # every pair that is apart has a node outside the list's main component
-            pairs = _all_pairs(lists.where("minor"), lists, percent, True)
-        else:
-            # first nodes of the main components, which take in most of the rest; then the others
-            entry = F.struct(F.col("minor") == F.lit(late), -F.col("place"), "node", "place", "size", "component")
-            centres = lists.groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(CENTRES))).agg(F.max(entry).alias("c"))
-            centres = scratch.keep(centres.select("gram", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "place", "size", "component")]), "centres")
-            pairs = _pairs(lists.join(sized(centres), "gram").where("component <> c_component"), percent)
-            rest = lists.join(sized(centres.select("gram", F.col("c_node").alias("node"))), ["gram", "node"], "left_anti").select("gram", "node", "place", "size")
-        fresh = scratch.keep(verified(pairs.distinct(), sets, percent), "links", 1000)
-        label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
-        between = fresh.join(sized(scratch.keep(label("a"), "labels")), "a", "left").join(sized(scratch.keep(label("b"), "labels")), "b", "left")
-        joined = connected_components(between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")), scratch)
-        # a component is named by its least node, so the name moves with it
-        new = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
-        moved = labels.join(sized(scratch.keep(new, "moved")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-        labels = scratch.keep(moved.unionByName(joined.select("node", "component")).distinct(), "labels")
-        if last:
-            break
-        late = True
+    # centres are done with; what is left are pairs in lists that still have several components
+    tagged = open_lists.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = scratch.keep(tagged, "tagged")
+    apart = tagged.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("top")).where("low <> top").select("gram")
+    members = tagged.join(sized(scratch.keep(apart, "apart")), "gram").where("node <> c_node").select("c_node", "node", "component").distinct()
+    own = labels.select(F.col("node").alias("c_node"), F.col("component").alias("c_of"))
+    members = members.join(sized(scratch.keep(own, "labels")), "c_node", "left").withColumn("minor", F.col("component") != F.coalesce("c_of", "c_node")).drop("c_of")
+    pairs = difference_pairs(scratch.keep(members, "members"), sets, percent, scratch)
+    scratch.drop(tagged, open_lists)
+    fresh = scratch.keep(verified(pairs, sets, percent), "links", WIDE_ROWS)
+    label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
+    between = fresh.join(sized(scratch.keep(label("a"), "labels")), "a", "left").join(sized(scratch.keep(label("b"), "labels")), "b", "left")
+    joined = connected_components(between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")), scratch)
+    # a component is named by its least node, so the name moves with it
+    new = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    moved = labels.join(sized(scratch.keep(new, "moved")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    labels = scratch.keep(moved.unionByName(joined.select("node", "component")).distinct(), "labels")
     return facts, labels
 
 
