@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import byte_pairs, chain_dedup, exact_dedup, language_id, media, ngram_join, packing, quality, secrets, suffix_dedup
 
@@ -82,12 +83,31 @@ def components(values, n, percent):
     return {(i, len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("short", [1, 6])
-def test_ngram_join(spark, monkeypatch, short):
-    monkeypatch.setattr(ngram_join, "SHORT", short)
-    monkeypatch.setattr(ngram_join, "SMALL_ROWS", 0)
-    values = [*texts(1), None]
-    assert {tuple(r) for r in ngram_join.ngram_components(plain(spark, values), n=4, percent=85).collect()} == components(values, 4, 85)
+def family(seed, n=110):
+    """Edited copies of edited copies: many share most n-grams with the first and are not similar to it."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    out = [[rng.choice(words) for _ in range(100)] for _ in range(3)]
+    while len(out) < n:
+        own = list(rng.choice(out[:3] if rng.random() < 0.6 else out))
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            at = rng.randrange(len(own))
+            own[at : at + rng.choice([0, 1, 1, 2])] = [rng.choice(words)]
+        out.append(own)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("made, n, percent", [(texts(1), 4, 85), (family(2), 4, 85), (family(3), 5, 80)])
+def test_ngram_join(spark, monkeypatch, made, n, percent):
+    monkeypatch.setattr("tessera.llm.components.SMALL_ROWS", 0)
+    values = [*made, None]
+    assert {tuple(r) for r in ngram_join.ngram_components(plain(spark, values), n=n, percent=percent).collect()} == components(values, n, percent)
+
+
+def test_ngram_join_needs_differences(spark, monkeypatch):
+    values = family(2)
+    monkeypatch.setattr(ngram_join, "difference_pairs", lambda members, *_: members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    assert {tuple(r) for r in ngram_join.ngram_components(plain(spark, values), n=4, percent=85).collect()} != components(values, 4, 85)
 
 
 def test_exact_dedup_buckets(spark):
