@@ -17,32 +17,44 @@ from tessera.llm.word_pieces import word_ids
 #: A document goes if its main language has less than this share of its words.
 LEAST_SHARE = 0.4
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of an Arrow batch: whole texts can be long, and executors hold a few batches for each task.
+BATCH_ROWS = 500
+
+
+def few_rows(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of what the session writes from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts, texts without letters, and mixtures in which no
     language has LEAST_SHARE of the words."""
+    few_rows(spark)
     return accepted_languages(docs, fit(docs), LEAST_SHARE)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each text."""
+    few_rows(spark)
     return exact_dedup(docs, carry=True).where("kept").select("row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least identifier of each group of near copies (five words, 0.8)."""
+    few_rows(spark)
     gone = ngram_components(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id")
     return docs.join(sized(Scratch(spark).keep(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blanks live-looking credentials; every document stays, and n_chars follows its text."""
+    few_rows(spark)
     return redact_live(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs token pieces into sequences of 2048."""
+    few_rows(spark)
     import public_tokenizers
 
     return pack_documents(docs, word_ids(public_tokenizers.path(TOKENIZER)))
