@@ -242,3 +242,16 @@ def test_edited_passages_against_brute_force(spark):
     missed = set(range(len(pairs))) - {r.doc_id // 2 for r in out}
     print("missed", len(missed), "of", len(pairs), [p % 7 for p in missed])
     assert len(missed) <= 0.03 * len(pairs)
+
+
+def test_passage_of_two_blocks_that_others_hold_each(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    values, wanted = [], set()
+    for _ in range(12):
+        left, right = fresh(30), fresh(30)
+        wanted.add(frozenset((len(values), len(values) + 1)))
+        values += [fresh(25) + left + right + fresh(25) for _ in range(2)]
+        values += [fresh(30) + block + fresh(30) for block in (left, right) for _ in range(10)]
+    out = chain_dedup.repeated_passages(plain(spark, [" ".join(v) for v in values])).collect()
+    assert {frozenset((r.doc_id, r.ref_doc_id)) for r in out} == wanted
