@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import codec, vec
 from ..operators import gaps, incremental, ingest, ivf, legacy, posts, ranges, search, tags
 from ..sources import bindings as b
@@ -109,12 +110,28 @@ def vector_topk(spark, d):
     return search.top_k_each(queries, vectors, 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _hundredth(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_idx % 100 = 0").select(F.col("vec_idx").alias("query_id"), F.col("emb").alias("vector"))
+
+
+@query(
+    _with(b.VECTORS)
+    + """, q AS (SELECT vec_idx AS query_id, list_transform(emb, lambda x: x / sqrt(list_inner_product(emb, emb))) AS q FROM vectors WHERE vec_idx % 100 = 0),
+s AS (SELECT query_id, vec_idx AS hit, round(list_inner_product(q, emb), 6) AS score FROM vectors, q)
+SELECT query_id, hit, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit) AS rank FROM s) WHERE rank <= 5"""
+)
+def vector_topk_hundredth(spark, d):
+    vectors = b.vectors(spark, d)
+    return search.top_k_each(_hundredth(vectors), vectors, 5).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query()
 def ivf_topk(spark, d):
     vectors = b.vectors(spark, d)
-    centroids = ivf.train_centroids(ivf.training_sample(vectors, ["vec_idx"]), 16)
-    queries = vectors.where("vec_idx < 10").select(F.col("vec_idx").alias("query_id"), F.col("emb").alias("vector"))
-    return ivf.search_lists(queries, ivf.assign_lists(vectors, centroids), centroids, 8, 5)
+    config = Config()
+    lists = vectors.agg(ivf.list_count(F.count(F.lit(1))).alias("n")).first()["n"]
+    centroids = ivf.train_centroids(ivf.training_sample(vectors, ["vec_idx"], config.train_rows), lists)
+    return ivf.search_lists(_hundredth(vectors), ivf.assign_lists(vectors, centroids), centroids, config.nprobe, 5)
 
 
 @query("SELECT count(*)::BIGINT AS n, CASE WHEN count(*) >= 4096 THEN 4096 ELSE greatest(128, count(*) // 64) END::BIGINT AS nlist, CASE WHEN max(len(embedding)) % 64 = 0 THEN 64 ELSE 32 END::BIGINT AS m FROM embeddings")
