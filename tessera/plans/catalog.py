@@ -378,7 +378,7 @@ def gaps_exact(spark, d):
     return gaps.exact_gaps(_sparse(spark, d), 8, 64)
 
 
-def _stepping(head: int, threshold: int, step: int, floor: int) -> str:
+def _stepping(head: int | str, threshold: int, step: int, floor: int) -> str:
     return f"""WITH RECURSIVE s AS (SELECT {head}::BIGINT AS p, (SELECT max(doc_id) FROM labels WHERE doc_id <= {head}) AS a UNION ALL
 SELECT q, (SELECT max(doc_id) FROM labels WHERE doc_id <= q) FROM (SELECT CASE WHEN a IS NULL THEN -1 WHEN p - a >= {threshold} THEN a - 1 ELSE p - {step} END AS q FROM s WHERE p >= {floor}) WHERE q >= {floor})
 SELECT coalesce((SELECT min(doc_id) FROM labels WHERE doc_id >= p + 1) - 1, {head})::BIGINT AS upper_id, a + 1 AS lower_id FROM s WHERE p - a >= {threshold}
@@ -390,6 +390,13 @@ def gaps_probe(spark, d):
     return gaps.probed_gaps(_sparse(spark, d), 1000, 8, 3, width=64).select("upper_id", "lower_id")
 
 
+@query(_stepping("(SELECT max(doc_id) FROM labels)", 8, 3, 1))
+def gaps_probe_head(spark, d):
+    ids = _sparse(spark, d)
+    head = paged.latest_head(ids).first()["head"]
+    return gaps.probed_gaps(ids, head, 8, 3, width=64).select("upper_id", "lower_id")
+
+
 @query("SELECT 20000::BIGINT AS upper_id, max(doc_id) + 1 AS lower_id, 20001::BIGINT AS cursor_id, 'latest' AS source, 'active' AS status FROM labels HAVING 20000 - max(doc_id) >= 400")
 def latest_gap(spark, d):
     return ranges.latest_gap(_sparse(spark, d).agg(F.max("id").alias("max_id")), 20000, 400).drop("seq")
