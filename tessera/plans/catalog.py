@@ -454,6 +454,13 @@ def cursor_pages_all(spark, d):
     return paged.all_pages(_doc_ids(spark, d), 100_000, 7, 200)
 
 
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS n FROM documents) SELECT (n // 200)::BIGINT AS page_no, count(*)::BIGINT AS n, min(doc_id) AS min_id, max(doc_id) AS max_id FROM r GROUP BY 1")
+def cursor_pages_whole(spark, d):
+    ids = _doc_ids(spark, d)
+    ends = ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("upper"), F.coalesce(F.min("id"), F.lit(0)).alias("lower")).first()
+    return paged.all_pages(ids, ends["upper"], ends["lower"], 200)
+
+
 # rows of the one file are in vec_id order
 @query("SELECT vec_id, label::BIGINT AS label, vec_id - (SELECT min(vec_id) FROM embeddings) AS row_index FROM embeddings")
 def incoming_scan(spark, d):

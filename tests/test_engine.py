@@ -167,3 +167,9 @@ def test_ivf_topk_recall_over_all_queries(spark):
 def test_gaps_probe_head_reads_every_id(spark, tmp_path):
     spark.createDataFrame([(x,) for x in [*range(1, 1500), *range(1520, 5001)]], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
     assert [tuple(r) for r in catalog.QUERIES["gaps_probe_head"](spark, str(tmp_path)).collect()] == [(1519, 1500)]
+
+
+def test_cursor_pages_whole_has_all_ids(spark, tmp_path):
+    spark.range(0, 100_301).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["cursor_pages_whole"](spark, str(tmp_path)).agg(F.sum("n"), F.min("min_id"), F.max("max_id"), F.count("*")).first()
+    assert tuple(got) == (100_301, 0, 100_300, 502)
