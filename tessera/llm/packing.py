@@ -83,16 +83,23 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
     """Configurations with whole multiplicities (rounded down) that use the fewest sequences."""
     if not sizes:
         return []
-    need, basis = np.array(counts, float), np.diag([float(capacity // s) for s in sizes])
+    # sums and products of whole arrays only: BLAS threads may block beside a JVM
+    need, start = np.array(counts, float), [capacity // s for s in sizes]
+    basis, inverse = np.diag(np.array(start, float)), np.diag(1 / np.array(start, float))
+    level = inverse.diagonal() * need
     for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
-        value, column = _best_column(sizes, np.ones(len(sizes)) @ inverse, capacity)
+        value, column = _best_column(sizes, inverse.sum(axis=0), capacity)
         if value <= 1 + 1e-9:
             break
-        level, move = inverse @ need, inverse @ column
+        move = (inverse * column).sum(axis=1)
         ratio = np.where(move > 1e-9, level / np.where(move > 1e-9, move, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
-    level = np.maximum(np.linalg.solve(basis, need), 0)
+        out = int(ratio.argmin())
+        # one column of the basis changes, so one row operation brings its inverse up to date
+        basis[:, out] = column
+        pivot = inverse[out] / move[out]
+        inverse -= move[:, None] * pivot
+        inverse[out] = pivot
+        level = np.maximum((inverse * need).sum(axis=1), 0)
     return [(basis[:, k], int(level[k] + 1e-9)) for k in range(len(sizes)) if level[k] + 1e-9 >= 1]
 
 
