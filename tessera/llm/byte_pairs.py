@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slabs
+from .common import HELD, documents, slabs, tidied
 
 #: Entries of the memo tables of one worker; they are emptied when full, so memory is bounded.
 MEMO = 400_000
@@ -167,6 +167,7 @@ class BytePairCoder:
 
 
 _coders: dict[tuple[str, str], BytePairCoder] = {}
+HELD.append(_coders)
 
 
 def coder(path: str, pattern: str) -> BytePairCoder:
@@ -200,7 +201,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             arrays += [pa.array(columns[3], pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidied(run), schema)
 
 
 def op4_byte_pairs(spark, sf_dir):

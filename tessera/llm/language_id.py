@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slabs
+from .common import documents, slabs, tidied
 from .wordarrays import Words, words_of
 
 #: Bits of the hashed feature tables: trigrams, affixes, lexicon.
@@ -192,7 +192,7 @@ def identify_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     held = F.coalesce(fold(F.col(id_col)) == HELD, F.lit(False))
-    return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 def accepted_languages(docs: DataFrame, model: Model | None, least_share: float, text_col: str = "text") -> DataFrame:
@@ -208,7 +208,7 @@ def accepted_languages(docs: DataFrame, model: Model | None, least_share: float,
                 good += [lang != "und" and score >= least_share for lang, score in zip(*predict(part, shared.value), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op10_language_id(spark, sf_dir):

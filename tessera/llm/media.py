@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, tidied
 
 BLOCK = 64
 RATE = 8000
@@ -105,7 +105,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = [one(value.as_py()) for value in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], kinds[i]) for i in range(len(schema) - 1)]], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidied(run), schema)
 
 
 def op5_media(spark, sf_dir):

@@ -20,13 +20,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, documents, shuffle_parts, slabs
+from .common import Scratch, documents, shuffle_parts, slabs, tidied
 from .components import connected_components, sized
 from .wordarrays import mixed, ngram_hashes, words_of
 
 SLAB = 1 << 20
 #: An n-gram with at least one in this many of all n-gram counts is common; so there are at most as many.
 COMMON = 1 << 19
+#: N-grams of a task's documents that are counted at once.
+STRETCH = 1 << 19
+#: Rows of one n-gram that a task holds; rarer ones are ordered by their exact count, all others last.
+MOST_TIMES = 1 << 18
 #: Rows of an Arrow batch that hold whole sets.
 WIDE_ROWS = 250
 #: Slices of hash space that the suffix filter compares.
@@ -96,7 +100,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                     node.append(signature(grams))
                     held.append(grams)
                     total += len(grams)
-                if total > 1 << 21:
+                if total > STRETCH:
                     yield counted()
                     held, total = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
@@ -104,13 +108,13 @@ def described(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(tidied(run), schema)
 
 
 def looked_at(percent: int) -> int:
     """Hashes below this bound are counted exactly: enough of them that a text of mostly unshared
     n-grams has its whole prefix among those that nobody shares."""
-    return int(min(1.0, 1.6 * (1 - percent / 100) + 0.03) * ((1 << 64) - 1))
+    return int(min(1.0, 1.3 * (1 - percent / 100) + 0.02) * ((1 << 64) - 1))
 
 
 def offered(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
@@ -139,41 +143,61 @@ def offered(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["gram", "node", "size", "low", "nth"])
 
-    return docs.select("text").mapInArrow(run, "gram long, node long, size int, low int, nth int")
+    return docs.select("text").mapInArrow(tidied(run), "gram long, node long, size int, low int, nth int")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
     """The rows of n-grams that two nodes or more offer, each once, with the number of nodes (times).
 
-    Rows are dealt and sorted by n-gram; common n-grams are not among the counted ones, so no
-    group is large."""
+    Rows are dealt and sorted by n-gram and node.  A task holds MOST_TIMES rows of one n-gram at most: with
+    as many the count stops and its rows go straight through, as it only orders n-grams."""
+    most = MOST_TIMES
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            gram, node = (table.column(c).to_numpy() for c in (0, 1))
-            order = np.lexsort((node, gram))
-            fresh = np.ones(len(order), bool)
-            fresh[1:] = (gram[order][1:] != gram[order][:-1]) | (node[order][1:] != node[order][:-1])
-            kept = order[fresh]
-            _, group, times = np.unique(gram[kept], return_inverse=True, return_counts=True)
+        held: list[pa.RecordBatch] = []  # rows without repeats, of which those of the last n-gram may go on
+        rows = 0
+        last: tuple[int, int] | None = None
+        through: int | None = None  # an n-gram of which MOST_TIMES rows have gone
+
+        def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            _, group, times = np.unique(table.column(0).to_numpy(), return_inverse=True, return_counts=True)
             many = times[group] > 1
-            out = table.take(pa.array(kept[many])).append_column("times", pa.array(times[group][many]))
+            out = table.filter(pa.array(many)).append_column("times", pa.array(np.minimum(times[group][many], most)))
             yield from out.combine_chunks().to_batches()
 
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            gram = table.column(0).to_numpy()
-            stop = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # the last n-gram may go on
-            rest = table.slice(stop)
-            if stop:
-                yield from solved(table.slice(0, stop))
-        if rest is not None and rest.num_rows:
-            yield from solved(rest)
+            if not batch.num_rows:
+                continue
+            gram, node = (batch.column(c).to_numpy() for c in (0, 1))
+            fresh = np.ones(len(gram), bool)
+            fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+            fresh[0] = last != (gram[0], node[0])
+            last = gram[-1], node[-1]
+            batch = batch.filter(pa.array(fresh))
+            gram = gram[fresh]
+            if through is not None:
+                at = int(np.searchsorted(gram, through, side="right"))
+                if at:
+                    yield from pa.Table.from_batches([batch.slice(0, at)]).append_column("times", pa.array(np.full(at, most))).to_batches()
+                if at == len(gram):
+                    continue
+                through, batch, gram = None, batch.slice(at), gram[at:]
+            elif not len(gram):
+                continue
+            at = int(np.searchsorted(gram, gram[-1]))
+            if at or (held and held[-1].column(0)[0].as_py() != gram[-1]):
+                yield from counted(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held, rows = [], 0
+            held.append(batch.slice(at))
+            rows += batch.num_rows - at
+            if rows >= most:
+                yield from counted(pa.Table.from_batches(held))
+                held, rows, through = [], 0, int(gram[-1])
+        if held:
+            yield from counted(pa.Table.from_batches(held))
 
-    dealt = rows.repartition(shuffle_parts(rows.sparkSession), "gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "gram long, node long, size int, low int, nth int, times long")
+    dealt = rows.repartition(shuffle_parts(rows.sparkSession), "gram").sortWithinPartitions("gram", "node")
+    return dealt.mapInArrow(tidied(run), "gram long, node long, size int, low int, nth int, times long")
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, common) -> DataFrame:
@@ -201,12 +225,24 @@ def _may_link(percent: int, x: str, y: str) -> Column:
 
 
 def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """lists: gram, node, place, size, and the list's centre (c_node, c_place, c_size)."""
+    """lists: gram, node, place, size, and the list's centre (c_node, c_place, c_size); to (a, b), of which a is a centre."""
     own = lists.select("c_node", "c_place", "c_size", *[F.col(c).alias(f"x_{c}") for c in ("node", "place", "size")])
-    return own.where((F.col("x_node") != F.col("c_node")) & _may_link(percent, "c", "x")).select(F.least("c_node", "x_node").alias("a"), F.greatest("c_node", "x_node").alias("b"))
+    return own.where((F.col("x_node") != F.col("c_node")) & _may_link(percent, "c", "x")).groupBy(F.least("c_node", "x_node").alias("l"), F.greatest("c_node", "x_node").alias("g")).agg(F.min("c_node").alias("a")).select("a", F.when(F.col("a") == F.col("l"), F.col("g")).otherwise(F.col("l")).alias("b"))
+
+
+Sets = tuple[DataFrame, DataFrame]
+
+
+def with_sets(pairs: DataFrame, sets: Sets, many: str, each: str, scratch: Scratch) -> DataFrame:
+    """``pairs`` (a written table) with the sets of both nodes (``<name>_grams``).  A node of ``many`` may be in a
+    large part of the pairs, so that is a join the engine can split; the other one reads sets where they lie."""
+    own, plain = sets
+    named = lambda rows, c: rows.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
+    some = scratch.keep(pairs.select(F.col(many).alias("node")).distinct(), "some")
+    return pairs.join(named(own, each), each).join(named(plain.join(sized(some), "node", "left_semi"), many), many)
 
 
-def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+def differences(members: DataFrame, sets: Sets, scratch: Scratch) -> DataFrame:
     """members (c_node, node, component, minor) to one row per n-gram that only one of the node and
     its centre has: ``key`` is the hash of centre and n-gram, ``apart`` the number of them."""
     names = ["c_node", "node", "component", "minor"]
@@ -223,12 +259,11 @@ def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
             facts = batch.select([0, 1, 2, 3]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(key), *facts.columns, pa.array(size[at]), pa.array(times[at])], names=["key", *names, "size", "apart"])
 
-    c, x = (sets.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in ("c_node", "node"))
-    whole = members.join(c, "c_node").join(x, "node").select(*names, "c_node_grams", "node_grams")
-    return whole.mapInArrow(run, "key long, c_node long, node long, component long, minor boolean, size int, apart int")
+    whole = with_sets(members, sets, "c_node", "node", scratch).select(*names, "c_node_grams", "node_grams")
+    return whole.mapInArrow(tidied(run), "key long, c_node long, node long, component long, minor boolean, size int, apart int")
 
 
-def difference_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def difference_pairs(members: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of one centre's nodes in different components that may still be similar.
 
     Of sets x and y with differences X and Y from the centre, |x n y| grows with |X n Y|:
@@ -238,7 +273,7 @@ def difference_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch:
     alone give no partner, the others are ordered rare first, and pairs join on prefixes under
     length and positional filters.  Copies that were edited apart from each other share few."""
     q, r = 100 + percent, 100 - percent
-    rows = scratch.keep(differences(members, sets), "apart", WIDE_ROWS)
+    rows = scratch.keep(differences(members, sets, scratch), "apart", WIDE_ROWS)
     far = (F.col("apart").cast("long") * q - F.col("size").cast("long") * r).alias("far")
     least = rows.select("c_node", "minor", far).groupBy("c_node").agg(F.min(F.when(F.col("minor"), F.col("far"))).alias("out"), F.min(F.when(~F.col("minor"), F.col("far"))).alias("main"))
     bound = F.ceil((F.col("far") + F.when(F.col("minor"), F.least("out", "main")).otherwise(F.col("out"))) / (2 * q))
@@ -265,17 +300,16 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
 
-    whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return with_sets(pairs, sets, "a", "b", scratch).select("a", "b", "a_grams", "b_grams").mapInArrow(tidied(run), "a long, b long")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, n: int, scratch: Scratch) -> Sets:
     """(node, grams) of the nodes in ``nodes`` (node, id), by one document of each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +321,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int, scratch: Scratch) -> Dat
                 good = pa.array([signature(s) == v for s, v in zip(sets, batch.column(0).take(at).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"]).filter(good)
 
-    held = docs.join(sized(nodes), "id").select("node", "text").mapInArrow(run, "node long, grams binary")
-    return scratch.keep(held, "sets", 1000)
+    held = docs.join(sized(nodes), "id").select("node", "text").mapInArrow(tidied(run), "node long, grams binary")
+    return scratch.keep_by(held, "node", "sets")
 
 
 def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +345,7 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
     wanted = scratch.keep(nodes.join(open_lists.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = _sets_of(docs, wanted, n, scratch)
     scratch.drop(wanted)
-    links = scratch.keep(verified(_pairs(open_lists, percent).distinct(), sets, percent), "links", WIDE_ROWS)
+    links = scratch.keep(verified(scratch.keep(_pairs(open_lists, percent), "pairs"), sets, percent, scratch), "links", WIDE_ROWS)
     labels = connected_components(links, scratch)
     # centres are done with; what is left are pairs in lists that still have several components
     tagged = open_lists.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -322,7 +356,8 @@ def similarity_links(docs: DataFrame, n: int, percent: int, scratch: Scratch) ->
     members = members.join(sized(scratch.keep(own, "labels")), "c_node", "left").withColumn("minor", F.col("component") != F.coalesce("c_of", "c_node")).drop("c_of")
     pairs = difference_pairs(scratch.keep(members, "members"), sets, percent, scratch)
     scratch.drop(tagged, open_lists)
-    fresh = scratch.keep(verified(pairs, sets, percent), "links", WIDE_ROWS)
+    fresh = scratch.keep(verified(pairs, sets, percent, scratch), "links", WIDE_ROWS)
+    scratch.drop(sets[0])
     label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
     between = fresh.join(sized(scratch.keep(label("a"), "labels")), "a", "left").join(sized(scratch.keep(label("b"), "labels")), "b", "left")
     joined = connected_components(between.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")), scratch)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, documents, shuffle_parts
+from .common import Scratch, documents, shuffle_parts, tidied
 from .word_pieces import word_ids
 
 CAPACITY = 2048
@@ -220,7 +220,7 @@ def token_pieces(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], id
                 arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (starts, lengths, sums)]]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(held, pa.list_(pa.int32()))] * with_ids, names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidied(run), schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, shards: int | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slabs
+from .common import documents, slabs, tidied
 from .wordarrays import words_of
 
 BITS = 16
@@ -177,7 +177,7 @@ def score_quality(docs: DataFrame, models: tuple[Linear, Linear] | None, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in (_p(odds[0]), _p(odds[1]), both, both >= 0.5)]], names=["doc_id", "text_score", "page_score", "score", "keep"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string"), F.col(lang_col).cast("string"))
-    return own.mapInArrow(run, f"doc_id {kind}, text_score double, page_score double, score double, keep boolean")
+    return own.mapInArrow(tidied(run), f"doc_id {kind}, text_score double, page_score double, score double, keep boolean")
 
 
 def op7_quality(spark, sf_dir):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, shuffle_parts, slabs
+from .common import Scratch, documents, shuffle_parts, slabs, tidied
 from .components import sized
 from .wordarrays import BACK, BYTE_VALUES, STEP, mixed, powers
 
@@ -158,7 +158,7 @@ def facts_and_grams(docs: DataFrame) -> DataFrame:
                     last = at[np.concatenate((np.flatnonzero(begin)[1:], [len(at)])) - 1]
                     yield rows(len(head), kinds, node=owner[head], low=low[head], high=high[last])
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(tidied(run), schema)
 
 
 def _cut_contexts(docs: DataFrame, wanted: DataFrame, many: int, huge: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _cut_contexts(docs: DataFrame, wanted: DataFrame, many: int, huge: int) -> D
                     out += [(x["gram"], k, node, low, x["place"], x["sure"], x["m"] > huge, text[low : high + SPAN]) for k, low, high in cuts if low <= high]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.join(wanted, "id").select("text", "node", "items").mapInArrow(run, "gram long, part int, node long, low long, place long, sure boolean, huge boolean, body binary")
+    return docs.join(wanted, "id").select("text", "node", "items").mapInArrow(tidied(run), "gram long, part int, node long, low long, place long, sure boolean, huge boolean, body binary")
 
 
 def _direct(items: list[tuple]) -> Iterator[tuple[int, int, int]]:
@@ -288,7 +288,7 @@ def repeats_in_buckets(cut: DataFrame, few: int) -> DataFrame:
 
     spark = cut.sparkSession
     dealt = cut.select("gram", "part", "node", "low", "place", "sure", "body").repartition(shuffle_parts(spark), "gram", "part").sortWithinPartitions("gram", "part")
-    return dealt.mapInArrow(run, "node long, start long, stop long")
+    return dealt.mapInArrow(tidied(run), "node long, start long, stop long")
 
 
 def repeats_by_digest(cut: DataFrame, scratch: Scratch) -> DataFrame:
@@ -302,7 +302,7 @@ def repeats_by_digest(cut: DataFrame, scratch: Scratch) -> DataFrame:
                 two = [pa.array(hashed.of(at, at + SPAN, seed).view(np.int64)) for seed in (3, 4)]
                 yield pa.RecordBatch.from_arrays([*two, pa.array(np.full(len(at), x["node"])), pa.array(at + x["low"]), pa.array(np.full(len(at), x["sure"]))], names=["h1", "h2", "node", "start", "sure"])
 
-    rows = scratch.keep(cut.select("node", "low", "sure", "body").mapInArrow(run, "h1 long, h2 long, node long, start long, sure boolean"), "windows")
+    rows = scratch.keep(cut.select("node", "low", "sure", "body").mapInArrow(tidied(run), "h1 long, h2 long, node long, start long, sure boolean"), "windows")
     often = scratch.keep(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "often")
     return rows.where("not sure").join(sized(often), ["h1", "h2"]).select("node", "start", (F.col("start") + SPAN).alias("stop"))
 
@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["id", "node", "gone", "runs", "left_sha", "left_bytes"])
 
-    parts = own.join(sized(covers), "id").select("id", "text", "node", "covers").mapInArrow(cut_out, f"id {kind}, node long, gone long, runs long, left_sha string, left_bytes binary")
+    parts = own.join(sized(covers), "id").select("id", "text", "node", "covers").mapInArrow(tidied(cut_out), f"id {kind}, node long, gone long, runs long, left_sha string, left_bytes binary")
     parts = scratch.keep(parts, "parts")
     many_copies = scratch.keep(texts.where("copies > 1").select("node", F.lit(True).alias("copied")), "copied")
     out = facts.join(sized(many_copies), "node", "left").join(parts.select("node", "gone", "runs", "left_sha", *(["left_bytes"] if with_text else [])), "node", "left")

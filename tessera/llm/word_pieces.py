@@ -12,6 +12,8 @@ import unicodedata
 from collections.abc import Callable
 from itertools import batched
 
+from .common import HELD
+
 #: Characters for which lower case, white space and normal form C need no library.
 OTHER = re.compile(r"[^\x09-\x0D\x20-\x7E\xA1-\xAC\xAE-įı-ňŊ-ž]")
 
@@ -31,6 +33,7 @@ def packed(ids: list[int]) -> bytes:
 
 
 _loaded: dict[str, tuple] = {}
+HELD.append(_loaded)
 
 
 def _load(path: str) -> tuple:
