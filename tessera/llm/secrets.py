@@ -29,8 +29,8 @@ KINDS = ("assign", "access", "hex", "issued")
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, ISSUED), strict=True))
 ANY = f"{NAMES}|AKIA|{HEX}|{ISSUED}"
 LEAST_VALUE = 6
-#: A value of more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value of more owners than this, or of more repositories, is a copied example.
+MAX_OWNERS, MAX_REPOS = 2, 3
 
 
 def _of_kind(kind: int):
@@ -69,21 +69,22 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("digest").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def judged_spans(spans: DataFrame, scratch: Scratch, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """``spans`` with ``live``.  A digest that one in a thousand spans has is looked up by broadcast
+def judged_spans(spans: DataFrame, scratch: Scratch, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """``spans`` with ``owned`` (n_owners, n_repos, live): live if both numbers are within their bounds.  A digest that one in a thousand spans has is looked up by broadcast
     (there are a thousand of them at most), so no key of the other join is hot."""
     spans = scratch.keep(spans, "spans")
-    counts = scratch.keep(ownership(spans).select("digest", "n", (F.col("n_owners") <= max_owners).alias("live")), "owners")
+    counts = scratch.keep(ownership(spans).select("digest", "n", F.struct("n_owners", "n_repos", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live")).alias("owned")), "owners")
     often = max(1000, spans.count() // 1000)
-    hot = F.broadcast(counts.where(F.col("n") >= often).select("digest", F.col("live").alias("hot_live")))
-    rest = counts.where(F.col("n") < often).select("digest", "live")
+    hot = F.broadcast(counts.where(F.col("n") >= often).select("digest", F.col("owned").alias("hot_owned")))
+    rest = counts.where(F.col("n") < often).select("digest", "owned")
     marked = spans.join(hot, "digest", "left")
-    plain = marked.where(F.col("hot_live").isNull()).drop("hot_live").join(rest, "digest")
-    return marked.where(F.col("hot_live").isNotNull()).withColumnRenamed("hot_live", "live").unionByName(plain)
+    plain = marked.where(F.col("hot_owned").isNull()).drop("hot_owned").join(rest, "digest")
+    return marked.where(F.col("hot_owned").isNotNull()).withColumnRenamed("hot_owned", "owned").unionByName(plain).withColumn("live", F.col("owned.live"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, and ``owned``: of each
+    span in the same order the number of distinct owners and of repositories that have its value, joined likewise.
 
     Null text counts as empty and has no spans: zeros, the digest of nothing and an empty string.
     Spans of one start are ordered by kind.  A null owner or repository is one unnamed owner.
@@ -92,8 +93,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession)
     rows, spans = secret_spans(docs, id_col, text_col, owner_col, repo_cols, scratch)
-    shown = judged_spans(spans, scratch, max_owners).where((F.col("kind") < 3) | F.col("live"))
-    one = F.struct("start", "kind", "stop", "live")
+    shown = judged_spans(spans, scratch, max_owners, max_repos).where((F.col("kind") < 3) | F.col("live"))
+    one = F.struct("start", "kind", "stop", "live", F.col("owned.n_owners").alias("owners"), F.col("owned.n_repos").alias("repos"))
     per_row = shown.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("found"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -101,7 +102,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return (
         rows.select("row", "id")
         .join(per_row, "row", "left")
-        .withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,live:boolean>>")))
+        .withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,live:boolean,owners:bigint,repos:bigint>>")))
         .select(
             F.col("id").alias("doc_id"),
             *[count(_of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
@@ -109,11 +110,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             line(F.col("found")).alias("spans"),
             count(lambda s: s["live"]).alias("n_live"),
             count(lambda s: ~s["live"]).alias("n_copied"),
+            F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["owners"].cast("string"), s["repos"].cast("string"))), ",").alias("owned"),
         )
     )
 
 
-def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, mark: str = "[secret]") -> DataFrame:
+def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each live-looking span replaced by ``mark``; copied examples stay.
 
     Only texts that may hold a span are written and joined; all others pass straight through.
@@ -125,7 +127,7 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = scratch.keep(whole.select("*", F.monotonically_increasing_id().alias("at")), "held")
     flat = held.select(F.col("at").alias("id"), F.col(f"whole.`{text_col}`").alias("text"), F.col(f"whole.`{owner_col}`").alias("owner"), *[F.col(f"whole.`{c}`").alias(f"repo{i}") for i, c in enumerate(repo_cols)])
     rows, spans = secret_spans(flat, "id", "text", "owner", tuple(f"repo{i}" for i in range(len(repo_cols))), scratch)
-    live = judged_spans(spans, scratch, max_owners).where("live")
+    live = judged_spans(spans, scratch, max_owners, max_repos).where("live")
     # what a span leaves of those before it
     before = W.partitionBy("row").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     cuts = live.withColumn("from", F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.lit(0)))).withColumn("fresh", F.col("from") == F.col("start")).where(F.col("stop") > F.col("from"))
@@ -160,19 +162,19 @@ s AS (
   FROM h
 ),
 v AS (SELECT *, start + length(match) AS stop, CASE WHEN kind = 0 THEN regexp_extract(match, '{quoted['assign']}', 2) ELSE match END AS value FROM s),
-o AS (SELECT value, count(DISTINCT source) AS owners FROM v WHERE length(value) >= {LEAST_VALUE} GROUP BY value),
+o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT source || '/' || lang) AS repos FROM v WHERE length(value) >= {LEAST_VALUE} GROUP BY value),
 j AS (
-  SELECT v.*, o.owners <= {MAX_OWNERS} AS live, ['assign', 'access', 'hex', 'issued'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS line
-  FROM v JOIN o USING (value) WHERE kind < 3 OR o.owners <= {MAX_OWNERS}
+  SELECT v.*, o.owners <= {MAX_OWNERS} AND o.repos <= {MAX_REPOS} AS live, o.owners || ':' || o.repos AS owned, ['assign', 'access', 'hex', 'issued'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS line
+  FROM v JOIN o USING (value) WHERE kind < 3 OR (o.owners <= {MAX_OWNERS} AND o.repos <= {MAX_REPOS})
 ),
 d AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-    coalesce(string_agg(line, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(line, ',' ORDER BY start, kind) AS spans,
+    coalesce(string_agg(line, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(line, ',' ORDER BY start, kind) AS spans, string_agg(owned, ',' ORDER BY start, kind) AS owned,
     count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
   FROM j GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(owned, '') AS owned
 FROM t LEFT JOIN d USING (doc_id)
 """
 
