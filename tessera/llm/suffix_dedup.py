@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, documents, shuffle_parts, slabs, tidied
 from .components import sized
@@ -308,7 +309,7 @@ def repeats_by_digest(cut: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, many: int = MANY, huge: int = HUGE, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left, if ``with_text``).
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``text``, what is left, where half a character becomes U+FFFD, if ``with_text``).
 
     Null text counts as empty.  Texts shorter than the span stay as they are.  A text of the span's
     length or more that two rows have is removed whole from both, repeated rows included.  Texts are
@@ -329,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal = open_.join(wholes.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("node", F.col("low").alias("start"), (F.col("high") + SPAN).alias("stop"))
     within = rows.where(F.col("gram").isNull() & F.col("size").isNull()).select("node", F.col("low").alias("start"), (F.col("high") + SPAN).alias("stop"))
     buckets = scratch.keep(wholes.where("mixed").groupBy("gram").agg(F.count(F.lit(1)).alias("m")), "buckets")
-    texts = scratch.keep(facts.where(f"size >= {SPAN}").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "texts")
+    texts = scratch.keep(facts.where(f"size >= {SPAN}").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("digest").alias("digest")), "texts")
     items = wholes.where("mixed").join(buckets, "gram").select("one.node", F.struct("gram", F.col("one.place").alias("place"), F.col("one.low").alias("low"), F.col("one.high").alias("high"), (F.col("n") > 1).alias("sure"), "m").alias("item"))
     # as many items as the text has contexts
     wanted = scratch.keep(items.groupBy("node").agg(F.collect_list("item").alias("items")).join(texts, "node").select("id", "node", "items"), "wanted")
@@ -338,46 +339,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeats_in_buckets(cut.where("not huge"), few).unionByName(equal).unionByName(within)
     if not cut.where("huge").isEmpty():
         found = found.unionByName(repeats_by_digest(cut.where("huge"), scratch))
-    covers = found.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("covers"))
-    covers = scratch.keep(covers.join(texts.where("copies = 1"), "node").select("id", "node", "covers"), "covers")
-    scratch.drop(cut, open_, wholes, buckets)
+    covers = found.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("covers")).join(texts.where("copies = 1"), "node").select("digest", "covers")
+    zero = F.lit(0).cast("long").alias("start")
+    covers = scratch.keep(covers.unionByName(texts.where("copies > 1").select("digest", F.array(F.struct(zero, F.col("size").alias("stop"))).alias("covers"))), "covers")
+    scratch.drop(cut, open_, wholes, buckets, rows)
     kind = own.schema["id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text"] * with_text]
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for i, text, node, spans in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                data = (text or "").encode()
-                if int.from_bytes(hashlib.sha256(data).digest()[:8], "little", signed=True) != node:
-                    continue
-                kept, at, runs, stop = [], 0, 0, -1
-                for a, b in sorted((s["start"], s["stop"]) for s in spans):
-                    if a > stop:
-                        runs += 1
-                        kept.append(data[at:a])
-                    stop = at = max(stop, b)
-                kept.append(data[at:])
-                left = b"".join(kept)
-                out.append((i, node, len(data) - len(left), runs, hashlib.sha256(left).hexdigest(), left if with_text else None))
-            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["id", "node", "gone", "runs", "left_sha", "left_bytes"])
-
-    parts = own.join(sized(covers), "id").select("id", "text", "node", "covers").mapInArrow(tidied(cut_out), f"id {kind}, node long, gone long, runs long, left_sha string, left_bytes binary")
-    parts = scratch.keep(parts, "parts")
-    many_copies = scratch.keep(texts.where("copies > 1").select("node", F.lit(True).alias("copied")), "copied")
-    out = facts.join(sized(many_copies), "node", "left").join(parts.select("node", "gone", "runs", "left_sha", *(["left_bytes"] if with_text else [])), "node", "left")
-    all_gone = F.col("copied").isNotNull()
-    nothing = hashlib.sha256(b"").hexdigest()
-    result = out.select(
-        F.col("id").alias("doc_id"),
-        F.col("size").alias("n_bytes"),
-        F.when(all_gone, F.col("size")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(all_gone, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(all_gone, F.lit(nothing)).otherwise(F.coalesce("left_sha", "digest")).alias("kept_sha256"),
-        *([F.when(all_gone, F.lit(b"")).otherwise(F.col("left_bytes")).alias("kept")] if with_text else []),
-    )
-    return result
+        kinds = [batches_kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch, out = whole.slice(first, 512), []
+                for i, text, digest, spans in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                    data = (text or "").encode()
+                    kept, at, runs, stop = [], 0, 0, -1
+                    for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
+                        if a > stop:
+                            runs += 1
+                            kept.append(data[at:a])
+                        stop = at = max(stop, b)
+                    left = b"".join([*kept, data[at:]])
+                    row = (i, len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest() if runs else digest)
+                    out.append((*row, left.decode(errors="replace")) if with_text else row)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+
+    batches_kind = to_arrow_type(own.schema["id"].dataType)
+    # joined by the digest of the whole text, so copies, repeated and null identifiers need no care
+    digested = own.select("id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).join(sized(covers), "digest", "left")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', text string' if with_text else ''}"
+    return digested.select("id", "text", "digest", "covers").mapInArrow(tidied(cut_out), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir):
-    return remove_repeats(documents(spark, sf_dir))
+    return remove_repeats(documents(spark, sf_dir), with_text=True)
