@@ -44,8 +44,8 @@ def media_url(c1: Column, c2: Column, c3: Column, c4: Column, c5: Column, config
 
 def parse_media_url(url: Column, config: Config | None = None) -> Column:
     """Struct c1..c5, or null where the URL has another form."""
-    base = (config or Config()).media_base.replace(".", r"\.")
-    pattern = rf"^{base}/(?:{'|'.join(SIZES)})/([0-9a-f]{{2}})/([0-9a-f]{{2}})/(?:[^/]*_)?([0-9a-f]{{32}})\.([A-Za-z0-9]+)$"
+    host = (config or Config()).media_base.partition("://")[2].replace(".", r"\.")
+    pattern = rf"^https?://{host}/(?:{'|'.join(SIZES)})/([0-9a-f]{{2}})/([0-9a-f]{{2}})/([0-9a-f]{{32}})\.([A-Za-z0-9]+)$"
     group = lambda i: F.regexp_extract(url, pattern, i)
     byte = lambda i: F.conv(group(i), 16, 10).cast("bigint")
     half = lambda first: u64_to_i64(hex_to_u64(F.substring(group(3), first, 16)))

@@ -49,6 +49,6 @@ def probed_gaps(ids: DataFrame, head: int, threshold: int, probe_step: int, floo
 
     folded = gathered.select("m", F.aggregate("found", start, fold).alias("s"))
     p = landed(F.col("s.p"), F.coalesce(F.col("m") - 1, F.lit(head).cast("bigint")))
-    tail = F.when((F.lit(head) >= 1) & (p >= floor) & (p - floor + 1 >= threshold), F.array(F.struct(p.alias("upper_id"), F.lit(floor).cast("bigint").alias("lower_id"), F.lit(None).cast("bigint").alias("lower_existing_id"), F.col("m").alias("upper_existing_id"))))
+    tail = F.when((F.lit(head) >= 1) & (p >= floor) & (p - floor + 1 >= threshold), F.array(F.struct(p.alias("upper_id"), F.lit(floor).cast("bigint").alias("lower_id"), F.lit(None).cast("bigint").alias("lower_existing_id"), F.lit(None).cast("bigint").alias("upper_existing_id"))))
     every = F.concat(F.col("s.out"), F.coalesce(tail, F.array().cast("array<struct<upper_id:bigint,lower_id:bigint,lower_existing_id:bigint,upper_existing_id:bigint>>")))
     return folded.select(F.posexplode(every).alias("nth", "r")).select(F.col("nth").cast("bigint").alias("nth"), "r.*")

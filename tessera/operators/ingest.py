@@ -96,14 +96,14 @@ def running(records: DataFrame, every: int = 25) -> DataFrame:
 def count_windows(records: DataFrame, size: int) -> DataFrame:
     """Whole tumbling windows of ``size`` records with the figures of the window before."""
     blocked = F.sum(F.when(F.col("reason").isin(*[f"http_{c}" for c in BLOCKING]), 1).otherwise(0))
-    failed = F.sum(F.when(outcome(F.col("reason")) == "failed", 1).otherwise(0))
+    failed = F.sum(F.when(F.col("reason") == "ok", 0).otherwise(1))  # skipped records too
     own = records.groupBy(F.floor(F.col("seq") / size).alias("win")).agg(F.count(F.lit(1)).alias("n"), blocked.cast("bigint").alias("blocked"), F.round(F.avg("download_sec"), 6).alias("avg_download"), F.round(F.avg("embed_sec"), 6).alias("avg_embed"), F.round(failed / F.count(F.lit(1)), 6).alias("failure_rate"), F.round(F.count(F.lit(1)) / F.greatest(F.sum("download_sec"), F.lit(1e-9)), 6).alias("rate")).where(F.col("n") == size)
     before = W.orderBy("win")
     return own.withColumns({"prev_download": F.lag("avg_download").over(before), "prev_rate": F.lag("rate").over(before)})
 
 
 def autotune(windows: DataFrame, initial: int, least: int, most: int) -> DataFrame:
-    """win, workers after each window: a fold in order, over one row a window."""
+    """win, workers after each window: a fold in order, over one row a window (factors are fixed values)."""
     clamp = lambda x: F.least(F.greatest(x, F.lit(least)), F.lit(most))
     fields = ["win", "blocked", "failure_rate", "avg_download", "avg_embed", "prev_download", "prev_rate", "rate"]
     start = F.struct(F.lit(max(least, min(most, initial))).alias("cur"), F.array().cast("array<struct<win:bigint,workers:int>>").alias("out"))

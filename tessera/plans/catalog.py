@@ -272,11 +272,14 @@ def build_urls(spark, d):
     return b.posts(spark, d).select("id", codec.post_url(F.col("id")).alias("url"), codec.media_url(*[F.col(c) for c in posts.COMPONENTS]).alias("media_url"))
 
 
-@query(_with(b.POSTS) + " SELECT id, c1, c2, c3, c4, CASE WHEN c5 > 4 THEN 0 ELSE c5 END::BIGINT AS c5 FROM posts UNION ALL SELECT -id, NULL, NULL, NULL, NULL, NULL FROM posts")
+@query(_with(b.POSTS) + " SELECT id, form, c1, c2, c3, c4, CASE WHEN c5 > 4 THEN 0 ELSE c5 END::BIGINT AS c5 FROM posts, (VALUES ('plain'), ('http')) t(form) UNION ALL SELECT id, form, NULL, NULL, NULL, NULL, NULL FROM posts, (VALUES ('tail'), ('prefix'), ('upper')) t(form)")
 def parse_urls(spark, d):
+    url, name = F.col("url"), F.substring_index("url", "/", -1)
+    folder = F.substring(url, F.lit(1), F.length(url) - F.length(name))
+    forms = {"plain": url, "http": F.regexp_replace(url, "^https:", "http:"), "tail": F.concat(url, F.lit("/x")), "prefix": F.concat(folder, F.lit("sample_"), name), "upper": F.concat(folder, F.upper(name))}
     own = b.posts(spark, d).select("id", codec.media_url(*[F.col(c) for c in posts.COMPONENTS]).alias("url"))
-    bad = own.select((-F.col("id")).alias("id"), F.concat("url", F.lit("/x")).alias("url"))
-    return own.unionByName(bad).select("id", codec.parse_media_url(F.col("url")).alias("p")).select("id", "p.*")
+    every = own.select("id", F.inline(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("url")) for k, v in forms.items()])))
+    return every.select("id", "form", codec.parse_media_url(F.col("url")).alias("p")).select("id", "form", "p.*")
 
 
 @query(_with(b.POSTS) + " SELECT id, u3::VARCHAR AS unsigned, c3 AS signed FROM _u JOIN posts USING (id)")
@@ -341,7 +344,7 @@ def ingest_running(spark, d):
 
 
 WINDOWS = """own AS (SELECT seq // 128 AS win, count(*) AS n, count(*) FILTER (reason IN ('http_403', 'http_429'))::BIGINT AS blocked, round(avg(download_sec), 6) AS avg_download, round(avg(embed_sec), 6) AS avg_embed,
-  round(count(*) FILTER (reason NOT IN ('ok', 'deleted', 'no_supported_url')) / count(*), 6) AS failure_rate, round(count(*) / greatest(sum(download_sec), 1e-9), 6) AS rate FROM records GROUP BY 1 HAVING count(*) = 128),
+  round(count(*) FILTER (reason <> 'ok') / count(*), 6) AS failure_rate, round(count(*) / greatest(sum(download_sec), 1e-9), 6) AS rate FROM records GROUP BY 1 HAVING count(*) = 128),
 windows AS (SELECT *, lag(avg_download) OVER (ORDER BY win) AS prev_download, lag(rate) OVER (ORDER BY win) AS prev_rate FROM own)"""
 
 
@@ -351,7 +354,7 @@ def autotune_windows(spark, d):
 
 
 @query(
-    _with(b.EVENTS, WINDOWS.replace("IN ('http_403', 'http_429')", "IN ('http_403')").replace("'no_supported_url'))", "'no_supported_url', 'http_429'))"))
+    _with(b.EVENTS, WINDOWS.replace("IN ('http_403', 'http_429')", "IN ('http_403')"))
     + """, fold AS (SELECT -1::BIGINT AS win, 32::BIGINT AS workers UNION ALL
 SELECT w.win, CASE WHEN w.blocked > 0 THEN greatest(8, least(48, f.workers - greatest(1, w.blocked)))
   WHEN w.failure_rate > 0.25 OR (w.avg_download > 1.08 * w.prev_download AND w.rate < 0.92 * w.prev_rate) THEN greatest(8, least(48, f.workers - 1))

@@ -173,3 +173,24 @@ def test_cursor_pages_whole_has_all_ids(spark, tmp_path):
     spark.range(0, 100_301).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.QUERIES["cursor_pages_whole"](spark, str(tmp_path)).agg(F.sum("n"), F.min("min_id"), F.max("max_id"), F.count("*")).first()
     assert tuple(got) == (100_301, 0, 100_300, 502)
+
+
+def test_media_url_forms(spark):
+    good = "https://media.example.org/720x720/12/34/1234567890abcdef0fedcba098765432.jpg"
+    forms = [good, good.replace("https", "http"), good.replace("34/1", "34/sample_1"), good.replace("abcdef", "ABCDEF"), good + "/x", None]
+    rows = spark.createDataFrame(list(enumerate(forms)), "n int, url string").select("n", codec.parse_media_url(F.col("url")).alias("p")).collect()
+    assert {r.n for r in rows if r.p is not None} == {0, 1}
+
+
+def test_windows_count_skipped_records_as_failures(spark):
+    reasons = ["ok", "deleted", "http_429", "no_supported_url"] * 2 + ["ok"] * 4 + ["ok"]
+    rows = [(i, r, 0.5, 0.1) for i, r in enumerate(reasons)]
+    out = ingest.count_windows(spark.createDataFrame(rows, "seq long, reason string, download_sec double, embed_sec double"), 4).orderBy("win").collect()
+    assert [(r.win, r.failure_rate, r.blocked) for r in out] == [(0, 0.75, 1), (1, 0.75, 1), (2, 0.0, 0)]
+
+
+def test_probe_below_all_ids_names_no_neighbours(spark):
+    ids = spark.createDataFrame([(i,) for i in (1000, 999, 500)], "id long")
+    out = gaps.probed_gaps(ids, 1000, 100, 10).orderBy("nth").collect()
+    assert [(r.upper_id, r.lower_id, r.lower_existing_id, r.upper_existing_id) for r in out][0] == (998, 501, 500, 999)
+    assert (out[-1].lower_id, out[-1].lower_existing_id, out[-1].upper_existing_id) == (1, None, None)
