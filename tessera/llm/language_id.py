@@ -29,7 +29,7 @@ CHAIN = 64
 DOCS_PER_LANGUAGE = 300
 EPOCHS = 3
 FOLDS, HELD = 4, 2
-SLAB = 1 << 19
+SLAB = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
 

@@ -24,7 +24,7 @@ from .common import Scratch, documents, shuffle_parts, slabs, tidied
 from .components import connected_components, sized
 from .wordarrays import mixed, ngram_hashes, words_of
 
-SLAB = 1 << 20
+SLAB = 1 << 18
 #: An n-gram with at least one in this many of all n-gram counts is common; so there are at most as many.
 COMMON = 1 << 19
 #: N-grams of a task's documents that are counted at once.

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .common import HELD
+
 MASK = (1 << 64) - 1
 #: Odd multiplier of the rolling polynomial, and its inverse modulo 2**64.
 STEP = 0x9E3779B97F4A7C15
@@ -31,12 +33,13 @@ LOWER[0x41:0x5B] += 0x20
 WORD_STEPS = mixed(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 _powers: dict[int, np.ndarray] = {}
+HELD.append(_powers)
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64."""
     if base not in _powers or len(_powers[base]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
