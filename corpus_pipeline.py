@@ -18,7 +18,7 @@ from tessera.llm.word_pieces import word_ids
 LEAST_SHARE = 0.4
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of an Arrow batch: whole texts can be long, and executors hold a few batches for each task.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 
 def few_rows(spark: SparkSession) -> None:
