@@ -34,26 +34,31 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each text."""
+    """Keeps one row of each text, white space aside, of equal ones that of the least identifier (null ranks
+    last); null and empty texts are one text."""
     few_rows(spark)
     return exact_dedup(docs, carry=True).where("kept").select("row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least identifier of each group of near copies (five words, 0.8)."""
+    """Keeps the document of least identifier of each group of near copies (five words, 0.8).
+
+    Null texts, texts without words and rows with a null identifier stay; all rows of a dropped identifier
+    go, so identifiers should be unique."""
     few_rows(spark)
     gone = ngram_components(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id")
     return docs.join(sized(Scratch(spark).keep(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blanks live-looking credentials; every document stays, and n_chars follows its text."""
+    """Blanks live-looking credentials; every document stays, and n_chars follows its text (null for
+    null texts)."""
     few_rows(spark)
     return redact_live(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs token pieces into sequences of 2048."""
+    """Packs token pieces into sequences of 2048; rows count one by one, null texts as empty."""
     few_rows(spark)
     import public_tokenizers
 
