@@ -17,6 +17,8 @@ class Config:
     tag_limit: int = 20
     probability_threshold: float = 0.1
     nprobe: int = 32
+    probe_recall: float = 0.95
+    probe_queries: int = 256
     train_rows: int = 200_000
     gap_threshold: int = 400
     probe_step: int = 200

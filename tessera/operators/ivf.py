@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot, unit
-from .search import score
+from .search import best_each, blocks_of, score, top_k_each
 
 
 def list_count(rows: Column) -> Column:
@@ -39,9 +41,28 @@ def assign_lists(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return vectors.join(best.select("vec_idx", F.col("n.list_no").alias("list_no")), "vec_idx")
 
 
-def search_lists(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, nprobe: int, k: int) -> DataFrame:
-    """query_id, hit, score, rank over the ``nprobe`` nearest lists of each query."""
+def _probes(queries: DataFrame, centroids: DataFrame) -> DataFrame:
+    """query_id, q, list_no, n: each query's lists, the nearest first."""
     asked = queries.select("query_id", unit(F.col("vector")).alias("q"))
-    probes = asked.crossJoin(F.broadcast(centroids)).withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(dot(F.col("q"), F.col("centroid")).desc(), "list_no"))).where(F.col("n") <= nprobe)
-    scored = indexed.join(F.broadcast(probes.select("query_id", "q", "list_no")), "list_no").select("query_id", F.col("vec_idx").alias("hit"), score(F.col("q"), F.col("emb")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "hit"))).where(F.col("rank") <= k)
+    return asked.crossJoin(F.broadcast(centroids)).withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(dot(F.col("q"), F.col("centroid")).desc(), "list_no"))).drop("centroid")
+
+
+def probes_for(sample: DataFrame, vectors: DataFrame, indexed: DataFrame, centroids: DataFrame, k: int, recall: float, least: int) -> int:
+    """The fewest lists to probe, ``least`` at least, that hold the share ``recall`` of the true hits.
+
+    ``sample`` (query_id, vector) is a bounded set; its hits are found exactly among all ``vectors``.
+    """
+    hits = top_k_each(sample, vectors, k).select("query_id", F.col("hit").alias("vec_idx"))
+    place = hits.join(indexed.select("vec_idx", "list_no"), "vec_idx").join(_probes(sample, centroids).select("query_id", "list_no", "n"), ["query_id", "list_no"])
+    needed = place.agg(F.expr(f"percentile_disc({recall}) WITHIN GROUP (ORDER BY n)").alias("n")).first()["n"]
+    return max(least, int(needed or 0))
+
+
+def search_lists(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, nprobe: int, k: int) -> DataFrame:
+    """query_id, hit, score, rank over the ``nprobe`` nearest lists of each query, block by block."""
+
+    def block(part: DataFrame) -> DataFrame:
+        probes = _probes(part, centroids).where(F.col("n") <= nprobe).select("query_id", "q", "list_no")
+        return best_each(indexed.join(F.broadcast(probes), "list_no").select("query_id", F.col("vec_idx").alias("hit"), score(F.col("q"), F.col("emb")).alias("score")), k)
+
+    return reduce(DataFrame.unionByName, map(block, blocks_of(queries, F.size("vector") * 8 * nprobe)))

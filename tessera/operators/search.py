@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,14 +41,34 @@ def top_k(query: DataFrame, vectors: DataFrame, k: int, key: str = "vec_idx", em
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "hit")))
 
 
-def top_k_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, hit, score, rank for a bounded set of query vectors (query_id, vector)."""
-    asked = F.broadcast(queries.select("query_id", unit(F.col("vector")).alias("q")))
-    scored = vectors.crossJoin(asked).select("query_id", F.col("vec_idx").alias("hit"), score(F.col("q"), F.col("emb")).alias("score"))
+#: Bytes of query vectors that one block broadcasts.
+BLOCK_BYTES = 64 << 20
+
+
+def blocks_of(queries: DataFrame, bytes_each: Column | None = None) -> list[DataFrame]:
+    """``queries`` (query_id, vector) cut by a hash of query_id into blocks of about BLOCK_BYTES."""
+    each = F.size("vector") * 8 if bytes_each is None else bytes_each
+    total = queries.agg(F.coalesce(F.sum(each.cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries for i in range(blocks)]
+
+
+def best_each(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; partitions pass on their own k best only."""
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "hit")))
     return ranked.where(F.col("rank") <= k)
 
 
+def top_k_each(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, hit, score, rank of the k best for each query vector (query_id, vector), block by block."""
+
+    def block(part: DataFrame) -> DataFrame:
+        asked = F.broadcast(part.select("query_id", unit(F.col("vector")).alias("q")))
+        return best_each(vectors.crossJoin(asked).select("query_id", F.col("vec_idx").alias("hit"), score(F.col("q"), F.col("emb")).alias("score")), k)
+
+    return reduce(DataFrame.unionByName, map(block, blocks_of(queries)))
+
+
 def page_of(hits: DataFrame, limit: int, offset: int) -> DataFrame:
     """The slice is taken before rows are looked up; padding (ids below 0) is dropped."""
     return hits.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit) & (F.col("hit") >= 0))

@@ -57,11 +57,10 @@ def search_by_vecidx(spark, d):
     return search.ranked_hits(search.page_of(search.top_k(_query_vector(spark, d, 12, vectors), vectors, 120), 25, 0), b.posts(spark, d), "vec_idx", 2)
 
 
-@query(_with(b.POSTS, b.VECTORS, RANKED.format(9)) + f" SELECT {HIT_COLUMNS}, score FROM ranked JOIN hits ON vec_idx = hit WHERE rank > 5 AND rank <= 45 AND rating <= 3 AND hits.id % 3 > 0")
+@query(_with(b.POSTS, b.VECTORS, RANKED.format(9)) + f" SELECT {HIT_COLUMNS}, score FROM ranked JOIN hits ON vec_idx = hit WHERE rank > 5 AND rank <= 45 AND rating <= 3")
 def search_page(spark, d):
     vectors = b.vectors(spark, d)
-    known = b.posts(spark, d).where("id % 3 > 0")
-    return search.ranked_hits(search.page_of(search.top_k(_query_vector(spark, d, 9, vectors), vectors, 120), 40, 5), known, "vec_idx", 3)
+    return search.ranked_hits(search.page_of(search.top_k(_query_vector(spark, d, 9, vectors), vectors, 120), 40, 5), b.posts(spark, d), "vec_idx", 3)
 
 
 @query(_with(b.POSTS) + f" SELECT {HIT_COLUMNS}, 0.0::DOUBLE AS score, 'recent' AS mode, 'db_map_empty' AS reason FROM (SELECT * FROM hits ORDER BY id DESC LIMIT 15) WHERE rating <= 2")
@@ -98,18 +97,6 @@ def compose_query(spark, d):
     return search.compose(images.unionByName(own).unionByName(tagged)).select(F.col("pos").cast("bigint").alias("pos"), F.round("val", 6).alias("val"))
 
 
-@query(
-    _with(b.VECTORS)
-    + """, q AS (SELECT vec_idx AS query_id, list_transform(emb, lambda x: x / sqrt(list_inner_product(emb, emb))) AS q FROM vectors WHERE vec_idx < 10),
-s AS (SELECT query_id, vec_idx AS hit, round(list_inner_product(q, emb), 6) AS score FROM vectors, q)
-SELECT query_id, hit, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit) AS rank FROM s) WHERE rank <= 5"""
-)
-def vector_topk(spark, d):
-    vectors = b.vectors(spark, d)
-    queries = vectors.where("vec_idx < 10").select(F.col("vec_idx").alias("query_id"), F.col("emb").alias("vector"))
-    return search.top_k_each(queries, vectors, 5).withColumn("rank", F.col("rank").cast("bigint"))
-
-
 def _hundredth(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_idx % 100 = 0").select(F.col("vec_idx").alias("query_id"), F.col("emb").alias("vector"))
 
@@ -120,7 +107,7 @@ def _hundredth(vectors: DataFrame) -> DataFrame:
 s AS (SELECT query_id, vec_idx AS hit, round(list_inner_product(q, emb), 6) AS score FROM vectors, q)
 SELECT query_id, hit, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit) AS rank FROM s) WHERE rank <= 5"""
 )
-def vector_topk_hundredth(spark, d):
+def vector_topk(spark, d):
     vectors = b.vectors(spark, d)
     return search.top_k_each(_hundredth(vectors), vectors, 5).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -131,7 +118,11 @@ def ivf_topk(spark, d):
     config = Config()
     lists = vectors.agg(ivf.list_count(F.count(F.lit(1))).alias("n")).first()["n"]
     centroids = ivf.train_centroids(ivf.training_sample(vectors, ["vec_idx"], config.train_rows), lists)
-    return ivf.search_lists(_hundredth(vectors), ivf.assign_lists(vectors, centroids), centroids, config.nprobe, 5)
+    indexed = ivf.assign_lists(vectors, centroids)
+    trial = vectors.where("vec_idx % 100 <> 0").orderBy(F.xxhash64("vec_idx"), "vec_idx").limit(config.probe_queries)  # none of the queries
+    trial = trial.select(F.col("vec_idx").alias("query_id"), F.col("emb").alias("vector"))
+    probes = ivf.probes_for(trial, vectors, indexed, centroids, 5, config.probe_recall, min(lists, config.nprobe))
+    return ivf.search_lists(_hundredth(vectors), indexed, centroids, probes, 5)
 
 
 @query("SELECT count(*)::BIGINT AS n, CASE WHEN count(*) >= 4096 THEN 4096 ELSE greatest(128, count(*) // 64) END::BIGINT AS nlist, CASE WHEN max(len(embedding)) % 64 = 0 THEN 64 ELSE 32 END::BIGINT AS m FROM embeddings")
@@ -388,21 +379,22 @@ SELECT coalesce((SELECT min(doc_id) FROM labels WHERE doc_id >= p + 1) - 1, {hea
 UNION ALL SELECT p, {floor}::BIGINT FROM s WHERE a IS NULL AND p - {floor} + 1 >= {threshold}"""
 
 
-@query(_stepping(1000, 8, 3, 1))
-def gaps_probe(spark, d):
-    return gaps.probed_gaps(_sparse(spark, d), 1000, 8, 3, width=64).select("upper_id", "lower_id")
-
-
 @query(_stepping("(SELECT max(doc_id) FROM labels)", 8, 3, 1))
-def gaps_probe_head(spark, d):
+def gaps_probe(spark, d):
     ids = _sparse(spark, d)
     head = paged.latest_head(ids).first()["head"]
     return gaps.probed_gaps(ids, head, 8, 3, width=64).select("upper_id", "lower_id")
 
 
-@query("SELECT 20000::BIGINT AS upper_id, max(doc_id) + 1 AS lower_id, 20001::BIGINT AS cursor_id, 'latest' AS source, 'active' AS status FROM labels HAVING 20000 - max(doc_id) >= 400")
+@query("SELECT max(doc_id) + 500 AS upper_id, max(doc_id) + 1 AS lower_id, max(doc_id) + 501 AS cursor_id, 'latest' AS source, 'active' AS status FROM labels")
 def latest_gap(spark, d):
-    return ranges.latest_gap(_sparse(spark, d).agg(F.max("id").alias("max_id")), 20000, 400).drop("seq")
+    return _latest(spark, d).drop("seq")
+
+
+def _latest(spark, d) -> DataFrame:
+    """The gap to a head 500 ids above the greatest one."""
+    stats = _sparse(spark, d).agg(F.max("id").alias("max_id"))
+    return ranges.latest_gap(stats, (stats.first()["max_id"] or 0) + 500, 400)
 
 
 def _queue(spark, d) -> DataFrame:
@@ -424,12 +416,11 @@ def ranges_compact(spark, d):
 
 @query(
     f"""WITH {COMPACTED}, m AS (SELECT max(doc_id) AS top FROM labels),
-r AS (SELECT -1 AS seq, 20000 AS upper_id, top + 1 AS lower_id, 20001 AS cursor_id, 'latest' AS source, 'active' AS status FROM m UNION ALL SELECT seq, upper_id, lower_id, cursor_id, source, 'pending' FROM q)
+r AS (SELECT -1 AS seq, top + 500 AS upper_id, top + 1 AS lower_id, top + 501 AS cursor_id, 'latest' AS source, 'active' AS status FROM m UNION ALL SELECT seq, upper_id, lower_id, cursor_id, source, 'pending' FROM q)
 SELECT (row_number() OVER (ORDER BY seq) - 1)::BIGINT AS seq, upper_id::BIGINT AS upper_id, lower_id::BIGINT AS lower_id, cursor_id::BIGINT AS cursor_id, source, status FROM r"""
 )
 def range_queue(spark, d):
-    latest = ranges.latest_gap(_sparse(spark, d).agg(F.max("id").alias("max_id")), 20000, 400)
-    return ranges.prioritise(ranges.compact(_queue(spark, d)), latest)
+    return ranges.prioritise(ranges.compact(_queue(spark, d)), _latest(spark, d))
 
 
 @query("SELECT DISTINCT event_id % 700 AS id FROM events WHERE event_type IN ('signup', 'error') ORDER BY id DESC LIMIT 200")
@@ -452,13 +443,8 @@ def cursor_page(spark, d):
     return paged.within(paged.page(_doc_ids(spark, d), 60, 150), 100, 140)
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS n FROM documents WHERE doc_id BETWEEN 7 AND 100000) SELECT (n // 200)::BIGINT AS page_no, count(*)::BIGINT AS n, min(doc_id) AS min_id, max(doc_id) AS max_id FROM r GROUP BY 1")
-def cursor_pages_all(spark, d):
-    return paged.all_pages(_doc_ids(spark, d), 100_000, 7, 200)
-
-
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS n FROM documents) SELECT (n // 200)::BIGINT AS page_no, count(*)::BIGINT AS n, min(doc_id) AS min_id, max(doc_id) AS max_id FROM r GROUP BY 1")
-def cursor_pages_whole(spark, d):
+def cursor_pages_all(spark, d):
     ids = _doc_ids(spark, d)
     ends = ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("upper"), F.coalesce(F.min("id"), F.lit(0)).alias("lower")).first()
     return paged.all_pages(ids, ends["upper"], ends["lower"], 200)
