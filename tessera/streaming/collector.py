@@ -67,7 +67,8 @@ def collect_files(spark: SparkSession, folder: str, snapshots: Snapshots, checkp
 def embed_records(records: DataFrame, load: Callable[[str], bytes], prepare: Callable[[bytes], bytes], embed: Embedder, dim: int, batch_size: int = 32) -> DataFrame:
     """records (id, image_url) to (id, emb, reason): load, prepare and embed in batches of Arrow rows.
 
-    A failure of one record is its reason; a batch of the wrong size fails as a whole.
+    A failure of one record is its reason, http_<status> where the error of ``load`` has a status as ``code``;
+    a batch of the wrong size fails as a whole.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +82,9 @@ def embed_records(records: DataFrame, load: Callable[[str], bytes], prepare: Cal
                         body = load(url)
                         step = "preprocess_failed"
                         ready.append((i, prepare(body)))
-                    except Exception:  # noqa: BLE001
-                        reasons[i] = step
+                    except Exception as e:  # noqa: BLE001
+                        status = getattr(e, "code", None)
+                        reasons[i] = f"http_{status}" if isinstance(status, int) and step.startswith("download") else step
                 try:
                     found = embed([x for _, x in ready])
                 except Exception:  # noqa: BLE001
