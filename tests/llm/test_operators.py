@@ -278,3 +278,56 @@ def test_passage_of_two_blocks_that_others_hold_each(spark):
         values += [fresh(30) + block + fresh(30) for block in (left, right) for _ in range(10)]
     out = chain_dedup.repeated_passages(plain(spark, [" ".join(v) for v in values])).collect()
     assert {frozenset((r.doc_id, r.ref_doc_id)) for r in out} == wanted
+
+
+def test_forward_backward_against_all_paths():
+    rng = np.random.default_rng(6)
+    k, lengths = 3, [1, 2, 5, 4]
+    model = language_id.Model(["a", "b", "c"], {}, rng.normal(size=(k, k)), rng.normal(size=k))
+    chain = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.concatenate([np.arange(n) for n in lengths])
+    scores = rng.normal(size=(len(chain), k)) * 2
+    own, moved, opened = language_id.forward_backward(scores, chain, place, len(lengths), model)
+    want, steps, first = np.zeros_like(scores), np.zeros((k, k)), np.zeros(k)
+    for c, n in enumerate(lengths):
+        mine = scores[chain == c]
+        paths = np.array(np.meshgrid(*[range(k)] * n, indexing="ij")).reshape(n, -1).T
+        log = [model.opening[p[0]] + mine[range(n), p].sum() + model.moves[p[:-1], p[1:]].sum() for p in paths]
+        for p, share in zip(paths, np.exp(log) / np.exp(log).sum(), strict=True):
+            want[np.flatnonzero(chain == c), p] += share
+            first[p[0]] += share
+            np.add.at(steps, (p[:-1], p[1:]), share)
+    assert np.allclose(own, want, atol=1e-5) and np.allclose(moved, steps, atol=1e-4) and np.allclose(opened, first, atol=1e-5)
+
+
+def test_co_training_on_documents_it_was_not_fitted_on():
+    rng = random.Random(4)
+    good, bad, common = ([f"{s}{i}" for i in range(60)] for s in "gbc")
+
+    def rows(n):
+        y = np.array([i % 2 for i in range(n)])
+        texts = [" ".join(rng.choice((good if v else bad) if rng.random() < 0.25 else common) for _ in range(40)) for v in y]
+        pages = [quality.page_view(f"s{(v * 3 + rng.randrange(3)) if rng.random() < 0.8 else rng.randrange(6)}", "en", 200) for v in y]
+        return (quality.text_view([t.encode() for t in texts]), pages), y
+
+    (own, y), (free, _), (new, truth) = rows(60), rows(300), rows(200)
+    models = quality.co_train(own, y, np.arange(60) % quality.FOLDS, free)
+    odds = [m.log_odds(v) for m, v in zip(models, new, strict=True)]
+    right = [((o > 0) == truth).mean() for o in (*odds, odds[0] + odds[1])]
+    print("held out: text, page, both", right)
+    assert right[2] >= 0.9 and right[2] >= right[1]
+    assert abs(float(np.mean(1 / (1 + np.exp(-(odds[0] + odds[1]))))) - 0.5) < 0.15
+
+
+def test_byte_pairs_of_documents(spark):
+    tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    ranks = byte_pairs.load_ranks(public.path("byte_bpe_50k.tiktoken"))
+    coder = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    values = [*CORNERS, "word é😀 " * 40_000]
+    want = []
+    for i, t in enumerate(values):
+        ids = coder.encode_ordinary(t or "")
+        want.append((i if i != 3 else 2, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    encode = lambda df: byte_pairs.encode_documents(df, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(tuple(r) for r in encode(docs(spark, values)).collect()) == sorted(want)
+    assert encode(docs(spark, values).limit(0)).collect() == []
