@@ -17,6 +17,17 @@ def scan(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.parquet(glob).select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with row_index counted on over all files in the order of their names.
+
+    Only the files' counts are ordered globally.
+    """
+    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select("path", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(starts), "path").withColumn("row_index", F.col("row_index") + F.col("_before")).drop("_before")
+
+
 def accepted(incoming: DataFrame, threshold: int) -> DataFrame:
     return incoming.where(F.col("rating") <= threshold)
 

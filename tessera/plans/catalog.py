@@ -450,10 +450,10 @@ def cursor_pages_all(spark, d):
     return paged.all_pages(ids, ends["upper"], ends["lower"], 200)
 
 
-# rows of the one file are in vec_id order
+# rows of the files, in the order of their names, are in vec_id order
 @query("SELECT vec_id, label::BIGINT AS label, vec_id - (SELECT min(vec_id) FROM embeddings) AS row_index FROM embeddings")
 def incoming_scan(spark, d):
-    return incremental.scan(spark, f"{d}/embeddings.parquet").select("vec_id", F.col("label").cast("bigint").alias("label"), "row_index")
+    return incremental.placed(incremental.scan(spark, f"{d}/embeddings.parquet")).select("vec_id", F.col("label").cast("bigint").alias("label"), "row_index")
 
 
 @query(_with(b.INCOMING) + " SELECT id, rating, row_index FROM incoming WHERE rating <= 1")

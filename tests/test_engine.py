@@ -6,6 +6,8 @@ import random
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,12 @@ def test_probe_below_all_ids_names_no_neighbours(spark):
     out = gaps.probed_gaps(ids, 1000, 100, 10).orderBy("nth").collect()
     assert [(r.upper_id, r.lower_id, r.lower_existing_id, r.upper_existing_id) for r in out][0] == (998, 501, 500, 999)
     assert (out[-1].lower_id, out[-1].lower_existing_id, out[-1].upper_existing_id) == (1, None, None)
+
+
+def test_incoming_scan_counts_rows_over_all_files(spark, tmp_path):
+    (tmp_path / "embeddings.parquet").mkdir()
+    for n, (first, last) in enumerate(((0, 7), (7, 8), (8, 20))):
+        rows = pa.table({"vec_id": pa.array(range(first, last), pa.int64()), "label": pa.array([i % 3 for i in range(first, last)], pa.int32())})
+        pq.write_table(rows, tmp_path / "embeddings.parquet" / f"part-{n:04}.parquet")
+    got = catalog.QUERIES["incoming_scan"](spark, str(tmp_path)).orderBy("vec_id").collect()
+    assert [tuple(r) for r in got] == [(i, i % 3, i) for i in range(20)]
