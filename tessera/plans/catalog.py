@@ -66,7 +66,8 @@ def search_page(spark, d):
 @query(_with(b.POSTS) + f" SELECT {HIT_COLUMNS}, 0.0::DOUBLE AS score, 'recent' AS mode, 'db_map_empty' AS reason FROM (SELECT * FROM hits ORDER BY id DESC LIMIT 15) WHERE rating <= 2")
 def search_fallback(spark, d):
     vectors = b.vectors(spark, d)
-    request = search.Request(text="id:7", has_id=True, limit=15, offset=100_000)
+    past_all = max(100_000, vectors.count())  # the SQL is that of a page beyond the last hit
+    request = search.Request(text="id:7", has_id=True, limit=15, offset=past_all)
     return search.search_with_mode(request, _query_vector(spark, d, 7, vectors), vectors, b.posts(spark, d), threshold=2)
 
 

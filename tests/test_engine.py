@@ -217,3 +217,13 @@ def test_incoming_scan_counts_rows_over_all_files(spark, tmp_path):
         pq.write_table(rows, tmp_path / "embeddings.parquet" / f"part-{n:04}.parquet")
     got = catalog.QUERIES["incoming_scan"](spark, str(tmp_path)).orderBy("vec_id").collect()
     assert [tuple(r) for r in got] == [(i, i % 3, i) for i in range(20)]
+
+
+def test_search_fallback_is_past_all_hits_of_large_tables(spark, tmp_path):
+    rows = spark.range(0, 100_030, numPartitions=4).selectExpr("id as vec_id", "array(cast(1 + id % 7 as float), cast(id % 5 as float)) as embedding", "cast(id % 10 as int) as label")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalog.QUERIES["search_fallback"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.sql(catalog.ORACLE_SQL["search_fallback"]).select(", ".join(found.columns)).fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 5
