@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import codec, vec
+from ..llm.common import Scratch
 from ..operators import gaps, incremental, ingest, ivf, legacy, posts, ranges, search, tags
 from ..sources import bindings as b
 from ..sources import paged
@@ -119,7 +120,7 @@ def ivf_topk(spark, d):
     config = Config()
     lists = vectors.agg(ivf.list_count(F.count(F.lit(1))).alias("n")).first()["n"]
     centroids = ivf.train_centroids(ivf.training_sample(vectors, ["vec_idx"], config.train_rows), lists)
-    indexed = ivf.assign_lists(vectors, centroids)
+    indexed = ivf.by_list(ivf.assign_lists(vectors, centroids), Scratch(spark))
     trial = vectors.where("vec_idx % 100 <> 0").orderBy(F.xxhash64("vec_idx"), "vec_idx").limit(config.probe_queries)  # none of the queries
     trial = trial.select(F.col("vec_idx").alias("query_id"), F.col("emb").alias("vector"))
     probes = ivf.probes_for(trial, vectors, indexed, centroids, 5, config.probe_recall, min(lists, config.nprobe))

@@ -227,3 +227,22 @@ def test_search_fallback_is_past_all_hits_of_large_tables(spark, tmp_path):
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = c.sql(catalog.ORACLE_SQL["search_fallback"]).select(", ".join(found.columns)).fetchall()
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 5
+
+
+def test_lists_are_assigned_by_blocks_and_copies_keep_the_least_keys(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(300)] + [(300 + i, [9.0, 9.0, 9.0]) for i in range(40)] + [(340, None)]
+    vectors = spark.createDataFrame(rows, "vec_idx long, emb array<float>")
+    centroids = ivf.train_centroids(vectors, 6)
+    indexed = ivf.assign_lists(vectors, centroids)
+    assert "Join" not in indexed._jdf.queryExecution().executedPlan().toString()
+    centres = {r.list_no: r.centroid for r in centroids.collect()}
+    nearest = lambda v: max((sum(a * b for a, b in zip(v, c, strict=True)), n) for n, c in centres.items())[1]
+    got = {r.vec_idx: r.list_no for r in indexed.collect()}
+    assert got == {i: nearest(v) for i, v in rows if v}
+    queries = vectors.where("vec_idx in (0, 33, 320, 340)").select(F.col("vec_idx").alias("query_id"), F.col("emb").alias("vector"))
+    found = {tuple(r) for r in ivf.search_lists(queries, indexed, centroids, 6, 5).collect()}
+    asked, kept = (df.where("emb is not null") for df in (queries.withColumnRenamed("vector", "emb"), vectors))
+    assert found == {tuple(r) for r in search.top_k_each(asked.withColumnRenamed("emb", "vector"), kept, 5).collect()} and len(found) == 15
+    assert {h for q, h, _, _ in found if q == 320} == set(range(300, 305))
+    none = ivf.train_centroids(vectors.limit(0), 4)
+    assert ivf.search_lists(queries.limit(0), ivf.assign_lists(vectors.limit(0), none), none, 4, 5).collect() == []
