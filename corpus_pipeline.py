@@ -22,10 +22,18 @@ BATCH_ROWS = 200
 
 
 def few_rows(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of what the session writes from now on."""
+    """Bounds the Arrow batches of what the session writes from now on, after memory of the stage before is given back."""
+    give_back(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets the executors collect their garbage, in twice as many tasks as run at a time: a full collection
+    shrinks the heap and frees buffers outside it, which would stay beside the workers of the next stage."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts, texts without letters, and mixtures in which no
     language has LEAST_SHARE of the words."""

@@ -108,3 +108,12 @@ def test_run_is_its_stages(spark, tmp_path):
     table(spark, rows).select(COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == set(range(30))
+
+
+def test_executors_collect_garbage_before_each_stage(spark):
+    beans = lambda: spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        before = full()
+        stage(spark, spark.createDataFrame([(1, "some text here and there")], "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "cast(24 as long) as n_chars"), "")
+        assert full() > before, name
