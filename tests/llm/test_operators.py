@@ -280,6 +280,31 @@ def test_passage_of_two_blocks_that_others_hold_each(spark):
     assert {frozenset((r.doc_id, r.ref_doc_id)) for r in out} == wanted
 
 
+def components(n, links):
+    root = list(range(n))
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("rows", [2048, 8])
+def test_passages_whose_seeds_others_hold_first_and_last(spark, monkeypatch, rows):
+    """Three blocks make a passage; any two of them, as far apart, are in many texts that are linked with nothing."""
+    monkeypatch.setattr(chain_dedup, "ROWS", rows)
+    rng = random.Random(21)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    values, links = [], []
+    for edit in range(6):
+        a, b, c = fresh(19), fresh(19), fresh(19)
+        links.append((len(values), len(values) + 1))
+        values += [fresh(25) + a + b + c + fresh(25), fresh(31) + a + b[:9] + fresh(edit % 3) + b[9:] + c + fresh(22)]
+        values += [fresh(30) + x + fresh(30) for _ in range(12) for x in (a + b, b + c, a + fresh(19) + c)]
+    texts = [" ".join(v) for v in values]
+    out = chain_dedup.repeated_passages(plain(spark, texts)).collect()
+    assert components(len(texts), [(r.doc_id, r.ref_doc_id) for r in out]) == components(len(texts), links)
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(6)
     k, lengths = 3, [1, 2, 5, 4]
