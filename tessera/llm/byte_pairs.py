@@ -24,6 +24,8 @@ from .common import HELD, documents, slabs, tidied
 
 #: Entries of the memo tables of one worker; they are emptied when full, so memory is bounded.
 MEMO = 400_000
+#: Bytes of a piece whose last tokens are taken from another piece that begins alike.
+HEAD = 6
 SLAB = 1 << 20
 
 
@@ -36,12 +38,15 @@ class _Known(dict):
     """Ids of words by their text."""
 
     def __init__(self, coder: BytePairCoder):
-        self.coder = coder
+        self.coder, self.before = coder, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join([self.coder.packed[i] for i in self.coder.piece_ids(word.encode())])
+        ids = self.before.get(word)
+        if ids is None:
+            ids = b"".join([self.coder.packed[i] for i in self.coder.piece_ids(word.encode())])
         if len(word) <= 40:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:  # words that are met again go on, others go with the next half
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -56,13 +61,16 @@ class BytePairCoder:
             self.token[rank] = text
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.longest = max(map(len, ranks))
-        #: By the last bytes of a text: the length of the longest token that ends in them.
-        self.reach: dict[bytes, int] = {}
+        #: By the last four bytes of a text: the lengths of the tokens that end in them, longer ones first.
+        ends: dict[bytes, set[int]] = {}
         for text in ranks:
-            self.reach[text[-3:]] = max(len(text), self.reach.get(text[-3:], 0))
+            if len(text) > 3:
+                ends.setdefault(text[-4:], {n for n in (1, 2, 3) if text[-n:] in ranks}).add(len(text))
+        self.sizes = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
         self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = {}, {}
+        self.heads: dict[bytes, tuple[int, ...]] = {}
         self.known = _Known(self)
 
     def merged(self, piece: bytes, down_to: int = 1) -> list[int]:
@@ -123,11 +131,22 @@ class BytePairCoder:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Appends the last tokens of the prefixes of ``piece`` that ``last`` does not cover yet."""
-        ranks, reach = self.ranks, self.reach
+        rank, sizes, follows, short = self.ranks.get, self.sizes.get, self.follows.get, (3, 2, 1)
         for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - reach.get(piece[max(0, end - 3) : end], 2)), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and (self.may_follow(last[start - 1], token) if start else self.stands_alone(token)):
+            for size in sizes(piece[end - 4 : end], short) if end > 3 else range(end, 0, -1):
+                start = end - size
+                if start < 0:
+                    continue
+                token = rank(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    good = follows(last[start - 1] << 20 | token)
+                    if good is None:
+                        good = self.may_follow(last[start - 1], token)
+                else:
+                    good = self.stands_alone(token)
+                if good:
                     last.append(token)
                     break
             else:
@@ -144,7 +163,15 @@ class BytePairCoder:
     def piece_ids(self, piece: bytes) -> list[int]:
         """A piece that is itself in the table is that one token, as in the common library."""
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.unwind(self.extend(piece, []))
+        if whole is not None:
+            return [whole]
+        head = piece[:HEAD]
+        last = self.heads.get(head)
+        if last is None:
+            if len(self.heads) >= MEMO // 4:
+                self.heads.clear()
+            last = self.heads[head] = tuple(self.extend(head, []))
+        return self.unwind(self.extend(piece, list(last)))
 
     def edit(self, piece: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
         """Replaces piece[start:stop]; returns the new piece and its prefix table."""

@@ -168,6 +168,32 @@ def test_byte_pairs():
     assert table == own.extend(new, [])
 
 
+def test_byte_pairs_take_up_what_is_known(monkeypatch):
+    """Beginnings of pieces are worked out once, and words that come again outlast full memo tables."""
+    public = pytest.importorskip("public_tokenizers")
+    ranks = byte_pairs.load_ranks(public.path("byte_bpe_50k.tiktoken"))
+    own, rng, bytes_seen = byte_pairs.BytePairCoder(ranks, public.PATTERN), random.Random(4), Counter()
+    extend = own.extend
+
+    def counted(piece, last):
+        bytes_seen["all"] += len(piece) - len(last)
+        return extend(piece, last)
+
+    own.extend = counted
+    words = ["".join(rng.choices("zqxjk", k=6)) for _ in range(20)]
+    for _ in range(200):
+        piece = f"{rng.choice(words)}{''.join(rng.choices('abcdefgh', k=4))}wv".encode()
+        if piece not in ranks:
+            assert own.piece_ids(piece) == own.merged(piece)
+    assert bytes_seen["all"] <= 20 * 6 + 200 * 6
+    monkeypatch.setattr(byte_pairs, "MEMO", 40)
+    bytes_seen.clear()
+    for i in range(200):
+        own.encode(f"zzqqxxjjkkzz {i * 7919:020x}")
+    pieces = sum(len(x.encode()) for i in range(200) for x in own.pattern.findall(f" {i * 7919:020x}"))
+    assert bytes_seen["all"] <= pieces + len("zzqqxxjjkkzz")
+
+
 def test_media(spark):
     row = media.media_columns(plain(spark, ["abc" * 300]), with_media=True).first()
     assert media.from_wav(bytes(row.media)) == media.padded(b"abc" * 300)
