@@ -331,6 +331,61 @@ def test_passages_whose_seeds_others_hold_first_and_last(spark, monkeypatch, row
     assert components(len(texts), [(r.doc_id, r.ref_doc_id) for r in out]) == components(len(texts), links)
 
 
+def holders_of_one_seed(rng, n):
+    """Rows as chain_dedup compares them: bytes of the words around one seed, of words of few kinds, runs and edited copies."""
+    width = 2 * chain_dedup.AROUND + chain_dedup.K
+    words = rng.integers(1, 40, (n, width)).astype(np.uint8)
+    words[: n // 4] = np.repeat(rng.integers(1, 9, (n // 4, 14)), 15, axis=1)[:, :width]  # runs of repeated words
+    for i in range(n // 2, n):  # a passage of another row, with words replaced
+        size = rng.integers(50, 90)
+        at = rng.integers(chain_dedup.AROUND + chain_dedup.K - size, chain_dedup.AROUND)
+        words[i, max(0, at) : at + size] = words[i - n // 2, max(0, at) : at + size]
+        words[i, rng.integers(0, width, 30)] = 200
+    words[:, chain_dedup.AROUND : chain_dedup.AROUND + chain_dedup.K] = 250
+    words[rng.random(n) < 0.1, :60] = 0  # texts that begin there
+    opens = rng.random((n, width)) < 0.3
+    opens[:, chain_dedup.AROUND] = True
+    return words, opens, np.sort(rng.random(n) < 0.5)[::-1]
+
+
+@pytest.mark.parametrize("few", [4, 64])
+def test_pairs_of_frequent_seeds_against_all_pairs(monkeypatch, few):
+    monkeypatch.setattr(chain_dedup, "FEW", few)
+    words, opens, lead = (np.concatenate(c) for c in zip(*(holders_of_one_seed(np.random.default_rng(s), n) for s, n in ((1, 300), (2, 120))), strict=True))
+    group = np.repeat([0, 1], [300, 120])
+    i, j = (np.concatenate(c) for c in zip(*chain_dedup._pairs_in(group, np.flatnonzero(lead)), strict=True))
+    same = (words[i] == words[j]) & (words[i] != 0)
+    passes = chain_dedup.best_run(same) >= 0
+    assert passes.sum() > 50
+    both = opens[i] & opens[j]
+    loose = (chain_dedup.between_seeds(same, both) & ~same).any(axis=1) & ((both & same).sum(axis=1) > 1)
+    assert loose.sum() > 50
+    pairs = lambda found: [p for x, y in found for p in zip(x.tolist(), y.tolist(), strict=True)]
+    for found, wanted in ((chain_dedup.in_place(group, words, lead), passes), (chain_dedup.loose_ones(group, words, opens, lead), loose)):
+        got = pairs(found)
+        assert len(set(got)) == len(got) < len(i)
+        assert {(a, b) for a, b in zip(i[wanted].tolist(), j[wanted].tolist(), strict=True)} <= set(got)
+        assert all(lead[a] and a < b and group[a] == group[b] for a, b in got)
+
+
+def test_tiles_of_two_texts_are_asked_for_once(spark):
+    """However many chains two texts have: 40 places of one seed are 40 chains."""
+    rows = [(1, 2, 300, 10 * y, 2) for y in range(40)]
+    out = chain_dedup.chains_of(spark.createDataFrame(rows, "a long, b long, x long, y long, may int")).collect()
+    assert sorted((r.xs[0], r.ys[0]) for r in out if r.nth is not None) == [(300, 10 * y) for y in range(40)]
+    assert sorted((r.side, r.tile) for r in out if r.nth is None) == [(0, t) for t in (1, 2, 3)] + [(1, t) for t in range(4)]
+
+
+def test_single_seeds_without_enough_words_in_place():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2**32, 700).astype(np.uint32)
+    y = rng.integers(0, 2**32, 700).astype(np.uint32)
+    y[200:250] = x[100:150]
+    y[[201, 205, 209, 213, 230, 234, 238, 242, 246, 249]] = 7  # 40 of 50 are left
+    y[500:539] = x[400:439]
+    assert chain_dedup.may_align(x, y, np.array([120, 420, 0, 696]), np.array([220, 520, 0, 696])).tolist() == [True, False, False, False]
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(6)
     k, lengths = 3, [1, 2, 5, 4]
